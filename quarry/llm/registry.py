@@ -6,11 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.llm.bpe import op9_bpe
+from quarry.llm.decontaminate import op2_wu_manber
+from quarry.llm.lines import OP4_SQL, op4_lines
+from quarry.llm.sharding import op5_ring
 from quarry.llm.simhash import op8_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_wu_manber": op2_wu_manber,
+    "op4_lines": op4_lines,
+    "op5_ring": op5_ring,
     "op8_simhash": op8_simhash,
+    "op9_bpe": op9_bpe,
 }
 
 #: Equivalent DuckDB SQL, where SQL can express the operator.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_lines": OP4_SQL,
+}
