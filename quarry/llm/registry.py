@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from quarry.llm.bpe import op9_bpe
 from quarry.llm.decontaminate import op2_wu_manber
 from quarry.llm.lines import OP4_SQL, op4_lines
+from quarry.llm.pii import op1_pii
 from quarry.llm.sharding import op5_ring
 from quarry.llm.simhash import op8_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_wu_manber": op2_wu_manber,
     "op4_lines": op4_lines,
     "op5_ring": op5_ring,
