@@ -67,11 +67,20 @@ def mixed(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def fingerprint(text: bytes | None, k: int = 3, seed: int = 42, lanes: int = 1) -> np.ndarray:
-    """SimHash of the text: ``lanes`` 64-bit words; a bit is set if over half the shingles set it."""
-    total, ones = 0, np.zeros((lanes, 64), dtype=np.int64)
+    """SimHash of the text: ``lanes`` 64-bit words; a bit is set if over half the shingles set it.
+
+    With one lane a bit that just half of them set is 0. With more it is taken from the sum of the
+    hashes, so that short texts with many such bits don't come to look alike.
+    """
+    total, ones, tie = 0, np.zeros((lanes, 64), dtype=np.int64), np.zeros(lanes, dtype=np.uint64)
     for h in shingle_hashes(text or b"", k, seed):
         total += len(h)
         for i in range(lanes):
-            ones[i] += set_bits(mixed(h, i))
+            own = mixed(h, i)
+            ones[i] += set_bits(own)
+            tie[i] += own.sum(dtype=np.uint64)
     bits = (2 * ones > total).astype(np.uint8)
+    if lanes > 1:
+        drawn = np.unpackbits(mixed(tie, lanes).view(np.uint8).reshape(lanes, 8), axis=1, bitorder="little")
+        bits = np.where((2 * ones == total) & (total > 0), drawn, bits).astype(np.uint8)
     return np.packbits(bits, axis=1, bitorder="little").view("<u8").reshape(lanes)
