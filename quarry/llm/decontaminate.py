@@ -145,3 +145,31 @@ def op2_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(ids.cast("binary"), 256).alias("items_sha256"),
         (F.col("hits.n_hit") > 0).alias("contaminated"),
     )
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), b AS (
+  SELECT item_id, ws, least(10, len(ws)) AS m FROM (
+    SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL)
+  WHERE len(ws) > 0
+), g AS (
+  SELECT DISTINCT item_id, m, array_to_string(ws[i:i + m - 1], ' ') AS s
+  FROM (SELECT item_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM b)
+), x AS (
+  SELECT doc_id, m, i, array_to_string(ws[i:i + m - 1], ' ') AS s
+  FROM (SELECT doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM g))
+), h AS (SELECT x.doc_id, x.i, x.m, g.item_id FROM x JOIN g ON x.m = g.m AND x.s = g.s),
+n AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM h) GROUP BY doc_id
+), t AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY doc_id
+)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
+"""
