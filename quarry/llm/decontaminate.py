@@ -84,7 +84,7 @@ def search(text: bytes, found: list[WuManber]) -> tuple[int, list[list[int]], se
 
 def merge(spans) -> list[list[int]]:
     out: list[list[int]] = []
-    for s, e in sorted(spans):
+    for s, e in sorted(map(tuple, spans)):
         if out and s <= out[-1][1]:
             out[-1][1] = max(out[-1][1], e)
         else:

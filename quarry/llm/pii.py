@@ -37,7 +37,7 @@ _IP_VALID = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 
 #: What each labeler looks for, by kind.
 _GAZETTEER = {
-    "email": r"(?i)\.(?:com|org|net|edu|gov|info|io|eu|de|fr|es|it|nl|uk|ch|at|be|ca|us|jp|in|br|pl)$",
+    "email": r"(?i)(?:\.|[(\[]dot[)\]]\x20?)(?:com|org|net|edu|gov|info|io|eu|de|fr|es|it|nl|uk|ch|at|be|ca|us|jp|in|br|pl)$",
     "ip": r"^(?!0*\.|0*(?:127|22[4-9]|2[3-5][0-9])\.)",
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|35|6011|65|62)",
     "phone": r"^(?:\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])|\(?[2-9][0-9]{2}\)?[\x20.-][2-9])",
