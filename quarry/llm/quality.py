@@ -21,7 +21,7 @@ from quarry.llm.words import word_blocks
 FOLDS = 5
 THRESHOLD = 0.3
 SAMPLE = 40_000  # rows at most, about, that the model is fitted to; what the rest of the work reads has no bound
-ROUNDS = 600
+ROUNDS = 2000
 SEED = 7
 
 _SYMBOLS = b"#$%&*|<>{}[]\\^~=_@/+"
@@ -81,7 +81,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = ROUNDS, rate: float = 0.05, decay: float = 1e-4) -> Model:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = ROUNDS, rate: float = 0.1, decay: float = 1e-5) -> Model:
     """Logistic weights of least non-negative risk, by Adam over the whole sample."""
     mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-6
     p, u = (np.clip((x - mean) / scale, -8, 8) for x in (positive, unlabelled))
