@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.constraints import require_empty
-from quarry.operators.overlay import edit_rows, last_edits, merge
+from quarry.operators.overlay import conflicts, edit_rows, last_edits, merge
 from quarry.sources.storage import VersionedTable
 
 LEVELS = ("read uncommitted", "read committed", "repeatable read", "serializable")
@@ -100,8 +100,6 @@ class Session:
         self.pinned = self.table.version()
 
     def commit(self) -> int:
-        from quarry.operators.overlay import conflicts
-
         log = self.log()
         if log is None:
             return self._version()
@@ -113,6 +111,6 @@ class Session:
             touched = last_edits(log, self.keys).select(*self.keys)
             seen = self.table.read(self.pinned).join(touched, self.keys, "left_semi")
             require_empty(conflicts(base, seen, self.keys), "row changed")
-        out = self.table.commit(merge(base, log, self.keys), now)
+        out = self.table.commit_edits(log, self.keys, now)
         self.rollback()
         return out

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quarry.operators.constraints import duplicates
 from quarry.operators.rank import global_rank
-from quarry.plans.router import KeyRange, Pred, route
+from quarry.plans.router import KeyRange, Pred, RouteError, route, span
+from quarry.sources.storage import VersionedTable
 
 
 def range_of(column: str, ranges: list[KeyRange]) -> Column:
@@ -58,6 +59,51 @@ def split(ranges: list[KeyRange], at: int, group: str) -> list[KeyRange]:
     return out
 
 
+class RangedTable:
+    """A table stored in one folder for each range, so that a predicate reads only the ranges it can touch
+    and a split writes only the range that is split."""
+
+    def __init__(self, table: VersionedTable, column: str):
+        self.table, self.column = table, column
+
+    @classmethod
+    def create(cls, spark, path: str, rows: DataFrame, column: str, ranges: list[KeyRange]) -> RangedTable:
+        """Rows outside all ranges are an error."""
+        table = VersionedTable(spark, path)
+        if not placed(rows, column, ranges).where("range_id is null").isEmpty():
+            raise RouteError("no range holds some keys")
+        parts = [vars(r) | {"folder": table.stage(rows.where(r.predicate(column)))} for r in ranges]
+        table.publish(parts[0]["folder"], None, ranges=parts)
+        return cls(table, column)
+
+    def parts(self) -> list[tuple[KeyRange, str]]:
+        return [(KeyRange(p["group"], p["start"], p["end"], p["copying"]), p["folder"]) for p in self.table.meta()["ranges"]]
+
+    def read(self, p: Pred | None = None, where: Column | None = None) -> DataFrame:
+        """All rows, or those for which ``where`` holds, from the folders that ``p`` can touch. A
+        contradiction gives no row but keeps the schema."""
+        spark, own, s = self.table.spark, self.parts(), span(p, self.column)
+        hit = [] if s.empty() else [f for r, f in own if r.meets(s)]
+        out = spark.read.parquet(*[f"{self.table.path}/{f}" for f in hit or [own[0][1]]])
+        out = out if hit else out.limit(0)
+        return out if where is None else out.where(where)
+
+    def split(self, at: int | None, group: str) -> int:
+        """Keys above ``at`` (without it: above the middle key of the largest range) move to ``group``. Both
+        halves are published at once, so no read sees a row twice or not at all."""
+        own = self.parts()
+        read = lambda f: self.table.spark.read.parquet(f"{self.table.path}/{f}")
+        if at is None:
+            largest = max(own, key=lambda x: self.table.files.size(f"{self.table.path}/{x[1]}"))
+            at = split_key(read(largest[1]), self.column)
+        out = []
+        for r, f in own:
+            halves = split([r], at, group)
+            for h in halves:
+                out.append(vars(h) | {"folder": f if len(halves) == 1 else self.table.stage(read(f).where(h.predicate(self.column)))})
+        return self.table.publish(out[0]["folder"], self.table.version(), ranges=out)
+
+
 def unique_across(table: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
     """Values of CHECK columns that break uniqueness: ``column``, ``value`` and where ("statement" first,
     then "table"). NULLs are exempt."""

@@ -101,11 +101,12 @@ def apply(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     return merge(base, edits(changes, keys), keys)
 
 
-def start_applying(spark: SparkSession, source: str, schema, table: VersionedTable, keys: list[str], checkpoint: str, filters: Filters | None = None):
+def start_applying(spark: SparkSession, source: str, schema, table: VersionedTable, keys: list[str], checkpoint: str, filters: Filters | None = None, compact_after: int = 20):
     """Follow a folder of changelog files and apply each micro-batch exactly once.
 
     The number of the batch is stored in the version that it makes: a batch that is delivered again after
-    a failure finds it there and is skipped. Returns the streaming query; it stops when all is read.
+    a failure finds it there and is skipped. A batch writes its edits alone; after ``compact_after`` of them
+    the table is written anew. Returns the streaming query; it stops when all is read.
     """
 
     def one(batch: DataFrame, number: int) -> None:
@@ -113,7 +114,8 @@ def start_applying(spark: SparkSession, source: str, schema, table: VersionedTab
         if table.meta(version).get("batch", -1) >= number:
             return
         rows = batch.where(filters.column()) if filters else batch
-        table.commit(apply(table.read(version), deduplicated(rows), keys), version, batch=number)
+        table.commit_edits(edits(deduplicated(rows), keys), keys, version, batch=number)
+        table.compact(compact_after)
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -109,3 +109,34 @@ def test_auto_increment_continues_from_explicit_values(spark):
     rows = spark.createDataFrame([(1, None), (2, 50), (3, None), (4, 10), (5, None), (6, 5000), (7, None)], "at int, id bigint")
     got = {r["at"]: r["id"] for r in auto_increment(rows, "id", 7, "at").collect()}
     assert got == {1: 7, 2: 50, 3: 51, 4: 10, 5: 52, 6: 5000, 7: 5001}
+
+
+def test_commits_write_edits_alone_until_compacted(spark, place):
+    t = VersionedTable.create(spark, f"{place}/t", kv(spark, [(i, "a") for i in range(5)]))
+    for k in range(3):
+        s = Session(t, ["id"])
+        s.delete(F.col("id") == k)
+        s.insert(kv(spark, [(10 + k, "new")]))
+        s.commit()
+    s = Session(t, ["id"])
+    s.insert(kv(spark, [(0, "again")]))
+    s.commit()
+    m = t.meta()
+    assert len(m["edits"]) == 4 and m["folder"] == t.meta(0)["folder"] and ids(t.read()) == [0, 3, 4, 10, 11, 12]
+    t.backup(f"{place}/b")
+    assert ids(VersionedTable.restore(spark, f"{place}/b", f"{place}/r").read()) == [0, 3, 4, 10, 11, 12]
+    t.compact()
+    assert t.meta()["edits"] == [] and ids(t.read()) == [0, 3, 4, 10, 11, 12] and ids(t.read(1)) == [1, 2, 3, 4, 10]
+
+
+def test_ranges_are_folders(spark, place):
+    from quarry.plans.ranges import RangedTable
+    from quarry.plans.router import KeyRange, between, compare
+
+    t = RangedTable.create(spark, f"{place}/t", kv(spark, [(i, str(i)) for i in range(1, 9)]), "id", [KeyRange("g0", None, 5), KeyRange("g1", 5, None)])
+    assert len(t.read(compare("id", "=", 2)).inputFiles()) < len(t.read().inputFiles())
+    assert t.read(between("id", 5, 3)).columns == ["id", "name"] and t.read(between("id", 5, 3)).count() == 0
+    t.split(2, "g2")
+    assert [(r.group, r.start, r.end) for r, _ in t.parts()] == [("g0", None, 3), ("g2", 3, 5), ("g1", 5, None)]
+    t.split(None, "g3")
+    assert ids(t.read()) == list(range(1, 9)) and len(t.parts()) == 4
