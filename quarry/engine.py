@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.functions.types import field
-from quarry.operators import constraints
+from quarry.operators import constraints, stats
 from quarry.operators.ddl import information_schema_columns
 from quarry.operators.transactions import Session
 from quarry.sources.storage import VersionedTable
@@ -57,6 +57,9 @@ class Engine:
             constraints.require_key(rows, meta["primary_key"])
         for u in meta.get("unique", []):
             constraints.require_empty(constraints.duplicates(rows, u), f"unique {u}")
+        for i in meta.get("indexes", {}).values():
+            if i["unique"]:
+                constraints.require_empty(constraints.duplicates(rows, i["columns"], prefixes=i.get("prefixes")), f"unique {i['columns']}")
         for c in meta.get("checks", []):
             constraints.require_empty(constraints.check_failures(rows, c), f"check {c}")
 
@@ -75,6 +78,57 @@ class Engine:
         self.validate(rows, meta)
         return t.commit(rows, v, **{k: meta[k] for k in ("columns", *changes)})
 
+    def set_attributes(self, name: str, **changes) -> int:
+        """A new version with the same rows and other metadata: comment, collation, indexes, keys."""
+        t = self.table(name)
+        v = t.version()
+        m = t.meta(v)
+        return t.publish(m["folder"], v, **{"edits": m.get("edits", []), **changes})
+
+    def create_index(self, name: str, index: str, columns: list[str], unique: bool = False, prefixes: dict[str, int] | None = None) -> None:
+        """The definition of an index; a unique one is refused, and not kept, if rows break it."""
+        t = self.table(name)
+        known = t.meta().get("indexes", {})
+        if index.lower() in (k.lower() for k in known):
+            raise FileExistsError(f"index {index}")
+        own = {"columns": columns, "unique": unique, "prefixes": prefixes or {}}
+        self.validate(t.read(), {"indexes": {index: own}})
+        self.set_attributes(name, indexes=known | {index: own})
+
+    def drop_index(self, name: str, index: str) -> None:
+        known = self.table(name).meta().get("indexes", {})
+        self.set_attributes(name, indexes={k: v for k, v in known.items() if k.lower() != index.lower()})
+
+    def indexes(self, name: str) -> list[tuple[str, list[str]]]:
+        """PRIMARY first, the others by name."""
+        m = self.table(name).meta()
+        own = [(k, v["columns"]) for k, v in sorted(m.get("indexes", {}).items())]
+        return ([("PRIMARY", m["primary_key"])] if m.get("primary_key") else []) + own
+
+    def add_foreign_key(self, name: str, columns: list[str], parent: str, parent_columns: list[str]) -> None:
+        rows = constraints.orphans(self.table(name).read(), columns, self.table(parent).read(), parent_columns)
+        constraints.require_empty(rows, f"foreign key {columns}")
+        keys = self.table(name).meta().get("foreign_keys", [])
+        self.set_attributes(name, foreign_keys=[*keys, {"columns": columns, "parent": parent, "parent_columns": parent_columns}])
+
+    def check_foreign_keys(self, name: str) -> None:
+        for k in self.table(name).meta().get("foreign_keys", []):
+            rows = constraints.orphans(self.table(name).read(), k["columns"], self.table(k["parent"]).read(), k["parent_columns"])
+            constraints.require_empty(rows, f"foreign key {k['columns']}")
+
+    def analyze(self, name: str, columns: list[str]) -> dict:
+        """Statistics of the latest version, kept with the table until they are dropped."""
+        t = self.table(name)
+        own = stats.analyze(t.read(), columns).first().asDict()
+        self.set_attributes(name, statistics=t.meta().get("statistics", {}) | {",".join(columns): own})
+        return own
+
+    def statistics(self, name: str, columns: list[str]) -> dict | None:
+        return self.table(name).meta().get("statistics", {}).get(",".join(columns))
+
+    def drop_statistics(self, name: str) -> None:
+        self.set_attributes(name, statistics={})
+
     def begin(self, name: str, level: str = "repeatable read", read_only: bool = False) -> Session:
         t = self.table(name)
         return Session(t, t.meta()["primary_key"], level, read_only)

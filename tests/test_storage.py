@@ -140,3 +140,27 @@ def test_ranges_are_folders(spark, place):
     assert [(r.group, r.start, r.end) for r, _ in t.parts()] == [("g0", None, 3), ("g2", 3, 5), ("g1", 5, None)]
     t.split(None, "g3")
     assert ids(t.read()) == list(range(1, 9)) and len(t.parts()) == 4
+
+
+def test_indexes_keys_and_statistics(spark, place):
+    e = Engine(spark, place)
+    e.create_table("p", {"id": "BIGINT"}, ["id"], rows=spark.createDataFrame([(1,), (2,)], "id bigint"))
+    rows = spark.createDataFrame([(1, 1, "aab"), (2, 2, "aac"), (3, None, None), (4, None, None)], "id bigint, p bigint, s string")
+    e.create_table("c", {"id": "BIGINT", "p": "BIGINT", "s": "TEXT"}, ["id"], rows=rows)
+    with pytest.raises(ConstraintError):
+        e.create_index("c", "short", ["s"], unique=True, prefixes={"s": 2})
+    e.create_index("c", "whole", ["s"], unique=True)
+    e.create_index("c", "any", ["p"])
+    assert e.indexes("c") == [("PRIMARY", ["id"]), ("any", ["p"]), ("whole", ["s"])]
+    e.drop_index("c", "ANY")
+    e.add_foreign_key("c", ["p"], "p", ["id"])
+    e.check_foreign_keys("c")
+    with pytest.raises(ConstraintError):
+        e.add_foreign_key("p", ["id"], "c", ["p"]) if e.write("p", spark.createDataFrame([(1,), (9,)], "id bigint")) else None
+    with pytest.raises(ConstraintError):
+        e.check_foreign_keys("c")
+    assert e.analyze("c", ["p"])["null_rows"] == 2 and e.statistics("c", ["p"])["n_rows"] == 4
+    e.set_attributes("c", comment="notes")
+    assert e.table("c").meta()["comment"] == "notes" and e.table("c").read().count() == 4
+    e.drop_statistics("c")
+    assert e.statistics("c", ["p"]) is None
