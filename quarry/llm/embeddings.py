@@ -22,7 +22,7 @@ from quarry.llm.simhash import _forest
 
 COSINE = 0.95
 PIVOTS = (8, 256)  # least and most
-CELL = 4096  # vectors for each pivot, and of a block of a large cell
+CELL = 16384  # vectors for each pivot, and of a block of a large cell
 LEADING = 16  # pivot directions that bound the cosine
 SEED = 11
 _SLACK = 1e-4  # for single precision; whatever passes is computed again in double precision
@@ -155,8 +155,9 @@ def _join(dealt: DataFrame, pivots: np.ndarray, least: float) -> DataFrame:
             yield from pairs(m, m, True)
 
     def pairs(one, two, same):
-        for s in range(0, len(one[0]), 1024):
-            a = [c[s : s + 1024] for c in one]
+        step = max(1, (1 << 22) // len(two[0]))  # the matrix of a step stays small
+        for s in range(0, len(one[0]), step):
+            a = [c[s : s + step] for c in one]
             near = close(a[2], two[2], a[3], two[3], least)
             if same:
                 near &= np.arange(len(two[0]))[None, :] > np.arange(s, s + len(a[0]))[:, None]
