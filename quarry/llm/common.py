@@ -6,8 +6,11 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -72,6 +75,64 @@ def tasks(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
 
 
+def texts_of(array: pa.Array, rows: int = 128) -> Iterator[list[bytes | None]]:
+    """The UTF-8 of a batch of strings, a few at a time, so that a worker never holds all of them twice."""
+    array = array.cast(pa.binary())
+    for s in range(0, len(array), rows):
+        yield array.slice(s, rows).to_pylist()
+
+
+BLOOM_WORDS = 1 << 18  # 2 MB of bits, whatever they stand for
+
+
+def bloom(keys: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A test for long values: true for all of ``column``, false for most others.
+
+    The bits have a fixed size, so they may go to the driver and to every task. It only saves work: with
+    very many keys it lets more of the others pass, and what passes must be joined with the keys.
+    """
+    spark = keys.sparkSession
+    probe = lambda c: [F.xxhash64(F.lit(i), c) for i in range(3)]
+    at = [F.struct(F.pmod(p, F.lit(BLOOM_WORDS)).cast("int").alias("word"), F.shiftrightunsigned(p, 58).cast("int").alias("bit")) for p in probe(F.col(column))]
+    rows = keys.select(F.explode(F.array(*at)).alias("x")).groupBy("x.word").agg(F.bit_or(F.expr("shiftleft(1L, x.bit)")).alias("bits")).toArrow()
+    words = np.zeros(BLOOM_WORDS, dtype=np.int64)
+    words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    shared = spark.sparkContext.broadcast(words)
+
+    @F.arrow_udf("boolean")
+    def test(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        bits = shared.value.view(np.uint64)
+        for arrays in batches:
+            ok = np.ones(len(arrays[0]), dtype=bool)
+            for a in arrays:
+                p = a.to_numpy()
+                ok &= (bits[p % BLOOM_WORDS] >> (p.view(np.uint64) >> np.uint64(58))) & np.uint64(1) == 1
+            yield pa.array(ok)
+
+    return lambda c: test(*probe(c))
+
+
+def bloom_flag(rows: DataFrame, key: Column, keys: DataFrame, own: Column, name: str = "_q_maybe") -> DataFrame:
+    """``rows`` with a boolean column: true where ``key`` is among the values ``own`` of ``keys``, and for a
+    few others. The same filter as :func:`bloom` in DataFrame operations alone: its words, a fixed number at
+    most, are a broadcast table."""
+    probes = lambda c: [F.xxhash64(F.lit(i), c) for i in range(2)]
+    word = lambda p: F.pmod(p, F.lit(BLOOM_WORDS)).cast("int")
+    bit = lambda p: F.shiftrightunsigned(p, 58).cast("int")
+    at = [F.struct(word(p).alias("word"), bit(p).alias("bit")) for p in probes(own)]
+    words = keys.select(F.explode(F.array(*at)).alias("x")).groupBy("x.word").agg(F.bit_or(F.expr("shiftleft(1L, x.bit)")).alias("bits"))
+    words = materialize(words, "bloom")
+    out, flag = rows, F.lit(True)
+    for i, p in enumerate(probes(key)):
+        out = out.withColumn(f"_q_p{i}", p)
+    for i in range(2):
+        w = words.select(F.col("word").alias(f"_q_w{i}"), F.col("bits").alias(f"_q_b{i}"))
+        out = out.join(F.broadcast(w), word(F.col(f"_q_p{i}")) == F.col(f"_q_w{i}"), "left")
+        out = out.withColumn(f"_q_s{i}", bit(F.col(f"_q_p{i}")))
+        flag = flag & F.coalesce(F.expr(f"shiftrightunsigned(_q_b{i}, _q_s{i}) & 1L") == 1, F.lit(False))
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns], flag.alias(name))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import lower_ascii, materialize, read
+from quarry.llm.common import bloom_flag, lower_ascii, materialize, read
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -45,15 +45,18 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     gone = keyed.join(over, ["h", "g"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     gone = gone.groupBy("doc_id", "mark").agg(F.collect_set("pos").alias("gone"))
     gone = materialize(gone.select(F.col("doc_id").alias("_q_id"), F.col("mark").alias("_q_mark"), F.col("gone").alias("_q_gone")), "gone")
+    # texts that lose nothing are told by a filter of fixed size and aren't shuffled; the join decides on the rest
+    flagged = bloom_flag(docs.withColumn("_q_row", mark), F.xxhash64("doc_id", "_q_row"), gone, F.xxhash64("_q_id", "_q_mark"))
+    names = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    out = lambda d, t, n: d.select(*names, t.alias("text"), F.size("_q_lines").cast("long").alias("n_lines"), n.cast("long").alias("n_dropped"))
+    whole = out(flagged.where("not _q_maybe").withColumn("_q_lines", lines), text, F.lit(0))
     same = F.col("doc_id").eqNullSafe(F.col("_q_id")) & (F.col("_q_row") == F.col("_q_mark"))
-    joined = docs.withColumn("_q_row", mark).join(gone, same, "left").withColumn("_q_lines", lines)
+    joined = flagged.where("_q_maybe").join(gone, same, "left").withColumn("_q_lines", lines)
     # the array is a column of its own: within the lambda it would be split again for every line
     kept = F.array_except(F.sequence(F.lit(0), F.size("_q_lines") - 1), F.col("_q_gone"))
     rest = F.array_join(F.transform(kept, lambda i: F.element_at(F.col("_q_lines"), i + 1)), "\n")
-    plan = {c: F.col(f"`{c}`") for c in docs.columns}
-    plan["text"] = F.when(F.col("_q_gone").isNull(), text).otherwise(rest)
-    counts = F.size("_q_lines").cast("long").alias("n_lines"), F.coalesce(F.size("_q_gone"), F.lit(0)).cast("long").alias("n_dropped")
-    return joined.select(*[v.alias(k) for k, v in plan.items()], *counts)
+    cut = out(joined, F.when(F.col("_q_gone").isNull(), text).otherwise(rest), F.coalesce(F.size("_q_gone"), F.lit(0)))
+    return whole.unionByName(cut).select(*[f"`{c}`" for c in docs.columns], "n_lines", "n_dropped")
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
