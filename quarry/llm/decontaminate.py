@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import read, ship
+from quarry.llm.common import read, ship, texts_of
 from quarry.llm.words import word_blocks
 
 WINDOW = 10
@@ -124,7 +124,7 @@ def _pass(items, window: int):
         found = matchers(items.value, window)
         for texts, before in batches:
             out = []
-            for text, old in zip(texts.cast(pa.binary()).to_pylist(), before.to_pylist(), strict=True):
+            for text, old in zip((t for part in texts_of(texts) for t in part), before.to_pylist(), strict=True):
                 n, spans, ids = search(text or b"", found)
                 if old:
                     spans, ids = merge([*((s["start"], s["end"]) for s in old["spans"]), *spans]), ids | set(old["items"])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, read, ship
+from quarry.llm.common import materialize, read, ship, texts_of
 from quarry.llm.words import word_blocks
 
 FOLDS = 5
@@ -118,7 +118,7 @@ def _features_column(text):
     @F.arrow_udf("array<double>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for a in batches:
-            x = [features(t) for t in a.cast(pa.binary()).to_pylist()]
+            x = [features(t) for part in texts_of(a) for t in part]
             yield pa.array(x, pa.list_(pa.float64()))
 
     return run(text)
@@ -160,7 +160,7 @@ def score_column(text, model: Model):
     @F.arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for a in batches:
-            x = [features(t) for t in a.cast(pa.binary()).to_pylist()]
+            x = [features(t) for part in texts_of(a) for t in part]
             yield pa.array(model(np.array(x)) if x else np.empty(0), pa.float64())
 
     return run(text)
