@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, read, ship, tasks
+from quarry.llm.common import materialize, read, ship, tasks, texts_of
 from quarry.llm.components import components
 from quarry.llm.words import fingerprint
 
 TILE = 2048  # fingerprints of a tile in a sorted stream
 HEAVY = 1024  # rows of a bucket beyond which it is dealt out in pairs of parts
-BLOCK = 8192  # fingerprints of a tile when all tiles are compared
+STRIP = 512  # rows of a tile that are compared with another at once
+TILES = 16  # tiles when all are compared: each fingerprint is sent to so many tasks
+BLOCK = (1024, 1 << 17)  # fingerprints of such a tile, least and most; beyond that there are more tiles
 
 
 def fingerprint_column(text, words: int = 3, seed: int = 42, lanes: int = 1):
@@ -34,7 +36,7 @@ def fingerprint_column(text, words: int = 3, seed: int = 42, lanes: int = 1):
     @F.arrow_udf("array<bigint>")
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for a in texts:
-            prints = [fingerprint(t, words, seed, lanes) for t in a.cast(pa.binary()).to_pylist()]
+            prints = [fingerprint(t, words, seed, lanes) for part in texts_of(a) for t in part]
             flat = np.concatenate(prints).view(np.int64) if prints else np.empty(0, np.int64)
             yield pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1, dtype=np.int32) * lanes), pa.array(flat))
 
@@ -137,29 +139,33 @@ def _bucketed(prints: DataFrame, radius: int) -> DataFrame:
     return dealt.mapInArrow(compare, _links_schema())
 
 
-def _tiled(prints: DataFrame, radius: int, first: int | None, block: int) -> DataFrame:
+def _tiled(prints: DataFrame, radius: int, first: int | None, block: int | None = None) -> DataFrame:
     """Links between fingerprints (node, words array<bigint>) of any radius, all tiles compared.
 
-    A tile holds fingerprints of one population count (of the first word), at most about ``block``.
-    The counts by population are 65 rows at most, so the tile plan fits the driver.
+    Fingerprints lie in order of the population count of their first word and are cut into tiles of about
+    ``block``. The counts by population are 65 rows at most, so the tile plan fits the driver.
     """
     spark = prints.sparkSession
     ones = F.bit_count(F.element_at("words", 1))
     per = {r["ones"]: r["n"] for r in prints.groupBy(ones.alias("ones")).agg(F.count("*").alias("n")).collect()}
-    limit = radius if first is None else min(first, radius)
-    tiles, starts = [], {}
-    for o in sorted(per):
-        starts[o] = (len(tiles), -(-per[o] // block))
-        tiles += [o] * starts[o][1]
-    if not tiles:
+    limit, total = radius if first is None else min(first, radius), sum(per.values())
+    if not total:
         return spark.createDataFrame([], _links_schema())
+    block = block or min(max(-(-total // TILES), BLOCK[0]), BLOCK[1])
+    least, most, starts, at = [99] * (-(-total // block)), [-1] * (-(-total // block)), {}, 0
+    for o in sorted(per):
+        starts[o] = (at, per[o])
+        for t in range(at // block, (at + per[o] - 1) // block + 1):
+            least[t], most[t] = min(least[t], o), max(most[t], o)
+        at += per[o]
     number = F.create_map(*[F.lit(x) for o, (s, n) in starts.items() for x in (o, F.struct(F.lit(s).alias("s"), F.lit(n).alias("n")))])[ones]
-    tile = (number["s"] + F.pmod(F.xxhash64("node"), number["n"]).cast("int")).alias("tile")
+    place = number["s"] + F.floor(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30) * number["n"])
+    tile = F.floor(place / block).cast("int").alias("tile")
     packed = prints.select(tile, F.struct("node", "words").alias("x")).groupBy("tile").agg(F.collect_list("x").alias("rows"))
     packed = packed.select("tile", F.transform("rows", lambda r: r["node"]).alias("nodes"), F.flatten(F.transform("rows", lambda r: r["words"])).alias("words"))
     packed = materialize(packed, "tiles")
-    low = [next(i for i, x in enumerate(tiles) if x >= o - limit) for o in tiles]
-    high = [max(i for i, x in enumerate(tiles) if x <= o + limit) for o in tiles]
+    low = [next(i for i, x in enumerate(most) if x >= least[t] - limit) for t in range(len(least))]
+    high = [max(i for i, x in enumerate(least) if x <= most[t] + limit) for t in range(len(least))]
     pick = lambda v: F.element_at(F.array(*[F.lit(x) for x in v]), F.col("tile") + 1)
     dealt = packed.select("tile", "nodes", "words", F.explode(F.sequence(pick(low), pick(high))).alias("other"))
     dealt = dealt.select(F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "nodes", "words")
@@ -173,19 +179,24 @@ def _tiled(prints: DataFrame, radius: int, first: int | None, block: int) -> Dat
                 nodes = rb.column(3)[i].values.to_numpy()
                 words = rb.column(4)[i].values.to_numpy().view(np.uint64).reshape(len(nodes), -1)
                 if p == q:
-                    near, left, right = np.triu(_near(words, words, radius, first), 1), nodes, nodes
+                    left, right, a = nodes, nodes, words
                 elif held and held[:2] == (p, q):
-                    near, left, right = _near(held[3], words, radius, first), held[2], nodes
+                    left, right, a = held[2], nodes, held[3]
                 else:
                     held = (p, q, nodes, words)
                     continue
-                a, b = _forest(near, left, right)
-                yield _batch([a], [b])
+                for s in range(0, len(left), STRIP):  # a matrix of all pairs of two tiles would be large
+                    near = _near(a[s : s + STRIP], words, radius, first)
+                    if p == q:
+                        near &= np.arange(len(right))[None, :] > np.arange(s, s + len(near))[:, None]
+                    x, y = _forest(near, left[s : s + STRIP], right)
+                    if len(x):
+                        yield _batch([x], [y])
 
     return dealt.mapInArrow(compare, _links_schema())
 
 
-def near_links(prints: DataFrame, radius: int = 2, first: int | None = None, block: int = BLOCK) -> DataFrame:
+def near_links(prints: DataFrame, radius: int = 2, first: int | None = None, block: int | None = None) -> DataFrame:
     """Links (a, b) that connect all fingerprints which differ in ``radius`` bits or fewer.
 
     ``prints`` has one row for each different fingerprint: ``node`` (long) and ``words``
@@ -220,22 +231,6 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, lanes: int
     return rows.join(labels, "node").select("doc_id", *keep, "words", "component", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, lanes: int = 4, radius: int = 50, first: int = 20) -> DataFrame:
-    """The rows of ``docs`` less near copies: of each component the smallest doc_id stays, once.
-
-    The defaults take shingles of five words and 256 bits. Texts of Jaccard similarity s differ in about
-    256 acos(2s / (1 + s)) / pi bits, plus or minus 6: 39 at 0.8. Within 50 bits lie 97 in 100 pairs of
-    similarity 0.8, nearly all of 0.85 or more, and few under 0.6; unrelated texts differ in 128 plus or
-    minus 8. Rows without a doc_id come after all others; of repeated rows one stays. All columns are kept.
-    """
-    marked = docs.withColumn("_q_mark", F.xxhash64(F.lit("row"), "text"))
-    found = near_duplicates(marked, words, radius, lanes, first, keep=("_q_mark",))
-    least = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_q_mark")).alias("x"))
-    stay = materialize(least.select(F.col("x.doc_id").alias("_q_id"), F.col("x._q_mark").alias("_q_own")), "stay")
-    kept = marked.join(stay, F.col("doc_id").eqNullSafe(F.col("_q_id")) & (F.col("_q_mark") == F.col("_q_own")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_q_mark"]).drop("_q_mark")
-
-
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(read(spark, sf_dir, "documents"))
     hexed = F.lower(F.lpad(F.hex(F.element_at("words", 1)), 16, "0"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import embeddings, lines, sharding, simhash, warc
+from quarry.llm import embeddings, jaccard, lines, neardup, sharding, simhash, warc
 from quarry.llm.components import components
 from quarry.llm.words import fingerprint
 
@@ -143,11 +143,32 @@ def test_one_of_each_group_stays(spark):
                 own[rng.randrange(300)] = "new"
             rows.append((f * 10 + c, " ".join(own)))
     rows += [(1000 + i, " ".join(words(50))) for i in range(30)] + [(0, rows[0][1]), (None, "alone with words of its own here"), (2000, None)]
-    got = simhash.one_of_each(frame(spark, rows)).select("doc_id", "key").collect()
+    got = neardup.one_of_each(frame(spark, rows)).select("doc_id", "key").collect()
     want = [f * 10 for f in range(families)] + [1000 + i for i in range(30)] + [2000]
     assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == want and len(got) == len(want) + 1
 
 
+def test_similar_links_match_brute_force(spark):
+    rng = random.Random(9)
+    groups = {}
+    for g in range(3):
+        seed = [rng.randrange(10**9) for _ in range(60)]
+        for n in range(40 if g else 2):
+            own = set(seed)
+            for _ in range(rng.randrange(12)):
+                own.discard(rng.choice(seed))
+                own.add(rng.randrange(10**9))
+            groups[g * 100 + n] = (g, own)
+    data = lambda s: np.array(sorted(s), np.uint64).tobytes()
+    df = spark.createDataFrame([(g, n, bytearray(data(s))) for n, (g, s) in groups.items()], "grp bigint, node bigint, shingles binary")
+    nodes = sorted(groups)
+    like = lambda a, b: groups[a][0] == groups[b][0] and len(groups[a][1] & groups[b][1]) / len(groups[a][1] | groups[b][1]) >= 0.8
+    label = closure(len(nodes), lambda i, j: like(nodes[i], nodes[j]))
+    for rows in (256, 7):
+        got = {r["node"]: r["root"] for r in components(jaccard.similar_links(df, 0.8, rows)).collect()}
+        assert {n: got.get(n, n) for n in nodes} == {n: nodes[c] for n, c in zip(nodes, label, strict=True)}
+
+
 # vectors
 def brute_vectors(rows, least=0.95):
     good = {i: np.array(v, dtype=float) for i, (_, v) in enumerate(rows) if v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
