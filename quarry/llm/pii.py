@@ -32,7 +32,7 @@ _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _WRITTEN = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[(\[]dot[)\]])\x20?[A-Za-z0-9-]++)++"
 _NATIONAL = r"(?<![0-9+.-])(?<![0-9]\x20)\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9.-])"
 
-_OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+_OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9][0-9]?|(?<=0))"  # the last: zeros only
 _IP_VALID = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 
 #: What each labeler looks for, by kind.

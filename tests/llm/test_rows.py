@@ -54,6 +54,16 @@ def test_base_spans_match_brute_force(spark):
         assert set(map(tuple, r["base"])) <= set(map(tuple, r["spans"]))
 
 
+def test_addresses_with_zero_parts_are_base_spans(spark):
+    parts = ["0", "00", "000", "00000", "1", "01", "10", "100", "007", "255", "0255", "256", "0256", "300", "99", "0100", "1000"]
+    rng = random.Random(4)
+    texts = ["10.0.0.1", "127.0.0.1", "192.168.0.1", "8.8.8.0", "00.1.2.3", "0.0.0.0", "1.2.3", "1.0..2.3", "0" * 4000 + ".0.0.256", "0." * 9000]
+    texts += [" ".join(".".join(rng.choice(parts) for _ in range(rng.randint(3, 9))) for _ in range(5)) for _ in range(300)]
+    got = {r["doc_id"]: r["base"] for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert [(pii.KINDS[x["kind"]], x["start"], x["end"]) for x in got[i]] == base_spans(t), t
+
+
 def test_written_out_addresses_are_added_and_clean_text_is_left(spark):
     texts = [f"write to user{i}@example.com please" for i in range(30)] + [f"contact: name{i} (at) example (dot) com" for i in range(20)] + ["chapter 3.2 of part 17 on page 12345"] * 20
     got = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
