@@ -152,16 +152,34 @@ def _tiled(prints: DataFrame, radius: int, first: int | None, block: int | None
     if not total:
         return spark.createDataFrame([], _links_schema())
     block = block or min(max(-(-total // TILES), BLOCK[0]), BLOCK[1])
-    least, most, starts, at = [99] * (-(-total // block)), [-1] * (-(-total // block)), {}, 0
+    return tile_links(prints, ones, per, limit, lambda o: (0, block), lambda a, b: _near(a, b, radius, first))
+
+
+def tile_links(prints: DataFrame, order, per: dict[int, int], limit: int, block_of, test) -> DataFrame:
+    """Links between rows (node, words array<bigint>) whose places in ``order`` differ by ``limit`` or less.
+
+    ``per`` counts the rows by place. ``block_of`` gives for a place its band and the rows of a tile; a band
+    has tiles of its own, in which all rows have as many words, and lies beyond the limit from all others.
+    ``test`` gives the boolean matrix of two arrays of words. All tiles within the limit are compared.
+    """
+    spark = prints.sparkSession
+    least, most, starts, band, tile0, at = [], [], {}, None, 0, 0
     for o in sorted(per):
-        starts[o] = (at, per[o])
-        for t in range(at // block, (at + per[o] - 1) // block + 1):
-            least[t], most[t] = min(least[t], o), max(most[t], o)
+        own, block = block_of(o)
+        if own != band:
+            band, tile0, at = own, len(least), 0
+        starts[o] = (at, per[o], tile0, block)
+        for t in range(tile0 + at // block, tile0 + (at + per[o] - 1) // block + 1):
+            if t == len(least):
+                least.append(o)
+                most.append(o)
+            most[t] = o
         at += per[o]
-    number = F.create_map(*[F.lit(x) for o, (s, n) in starts.items() for x in (o, F.struct(F.lit(s).alias("s"), F.lit(n).alias("n")))])[ones]
+    four = lambda v: F.struct(*[F.lit(x).cast("long").alias(k) for k, x in zip(("s", "n", "tile0", "block"), v, strict=True)])
+    number = F.create_map(*[x for o, v in starts.items() for x in (F.lit(o), four(v))])[order]
     place = number["s"] + F.floor(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30) * number["n"])
-    tile = F.floor(place / block).cast("int").alias("tile")
-    packed = prints.select(tile, F.struct("node", "words").alias("x")).groupBy("tile").agg(F.collect_list("x").alias("rows"))
+    tile = (number["tile0"] + F.floor(place / number["block"])).cast("int")
+    packed = prints.select(tile.alias("tile"), F.struct("node", "words").alias("x")).groupBy("tile").agg(F.collect_list("x").alias("rows"))
     packed = packed.select("tile", F.transform("rows", lambda r: r["node"]).alias("nodes"), F.flatten(F.transform("rows", lambda r: r["words"])).alias("words"))
     packed = materialize(packed, "tiles")
     low = [next(i for i, x in enumerate(most) if x >= least[t] - limit) for t in range(len(least))]
@@ -186,7 +204,7 @@ def _tiled(prints: DataFrame, radius: int, first: int | None, block: int | None
                     held = (p, q, nodes, words)
                     continue
                 for s in range(0, len(left), STRIP):  # a matrix of all pairs of two tiles would be large
-                    near = _near(a[s : s + STRIP], words, radius, first)
+                    near = test(a[s : s + STRIP], words)
                     if p == q:
                         near &= np.arange(len(right))[None, :] > np.arange(s, s + len(near))[:, None]
                     x, y = _forest(near, left[s : s + STRIP], right)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import embeddings, jaccard, lines, neardup, sharding, simhash, warc
+from quarry.llm import embeddings, jaccard, lines, neardup, parity, sharding, simhash, warc
 from quarry.llm.components import components
 from quarry.llm.words import fingerprint
 
@@ -148,6 +148,42 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == want and len(got) == len(want) + 1
 
 
+def test_short_and_repetitive_near_copies_are_all_found(spark):
+    rng = random.Random(11)
+    rows = []
+    for f in range(150):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([5, 9, 12, 14, 20, 30, 60, 110, 300, 530]))]
+        slogan = " ".join(text[-7:])
+        for c in range(3):
+            own = list(text)
+            if c == 1:
+                own[0] = "new"
+            rows.append((f * 10 + c, " ".join(own) + (" " + slogan) * (rng.choice([1, 4, 40]) if c == 2 else 0)))
+    sets = [set(jaccard.shingle_set(t.encode(), 5).tolist()) for _, t in rows]
+    label = closure(len(rows), lambda i, j: rows[i][0] // 10 == rows[j][0] // 10 and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 - 1e-12)
+    got = neardup.one_of_each(frame(spark, rows)).select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in got) == [rows[i][0] for i in sorted(set(label))]
+
+
+def test_candidates_lose_no_similar_pair(spark):
+    rng = np.random.default_rng(12)
+    sets = []
+    for n in [1, 2, 4, 5, 8, 9, 40, 90, 205, 250, 256, 257, 300, 500, 513, 700, 2100]:
+        for share in (1.0, 0.95, 0.89, 0.85, 0.8):
+            base = rng.integers(0, 2**63, n, dtype=np.uint64)
+            sets += [np.unique(base), np.unique(base[: round(n * share)]), np.unique(np.concatenate([base[: round(n * (1 + share) / 2)], rng.integers(0, 2**63, n // 20, dtype=np.uint64)]))]
+    rows = []
+    for i, x in enumerate(sets):
+        bands = range(parity.band(len(x)), parity.band(int(len(x) / 0.8 + 1e-6)) + 1)
+        rows.append((i, [(k * parity.BAND + int(np.log(len(x)) / parity.STEP), [len(x), *parity.parities(x, 1 << k).tolist()]) for k in bands]))
+    df = spark.createDataFrame(rows, "node bigint, rows array<struct<place:int,words:array<bigint>>>")
+    similar = jaccard.similar(sets, sets, 0.8)
+    for block in (None, 7):
+        links = components(parity.candidate_links(df, 0.8, block)).collect()
+        root = {r["node"]: r["root"] for r in links}
+        assert all(root.get(i, i) == root.get(j, j) for i, j in zip(*map(list, np.nonzero(similar)), strict=True))
+
+
 def test_similar_links_match_brute_force(spark):
     rng = random.Random(9)
     groups = {}
