@@ -78,7 +78,7 @@ def search(text: bytes, found: list[WuManber]) -> tuple[int, list[list[int]], se
                 spans.append((base - seen + skip + end - w.m, base - seen + skip + end))
                 items |= stands
         base += len(fresh)
-        tail = words[len(words) - longest + 1 :] if longest > 1 else []
+        tail = words[max(0, len(words) - longest + 1) :] if longest > 1 else []
     return base, merge(spans), items
 
 

@@ -113,6 +113,14 @@ def test_words_across_blocks():
     assert decontaminate.search(text, found) == (5000, [[100, 130]], {1})
 
 
+def test_few_words_of_a_block_are_carried_over():
+    words = [f"w{i}" for i in range(30)]
+    found = decontaminate.matchers([(1, " ".join(words[:12])), (2, " ".join(words[3:6]))])
+    for few in range(1, 13):
+        text = " ".join(words[:few]) + " " + "-" * (1 << 20) + " " + " ".join(words[few:])
+        assert decontaminate.search(text.encode(), found) == (30, [[0, 12]], {1, 2})
+
+
 # quality
 def test_quality_separates_junk_and_scores_every_row(spark):
     rng = random.Random(2)
