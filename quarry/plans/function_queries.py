@@ -164,12 +164,11 @@ SELECT o_orderkey, CAST(substring(o_orderpriority, 1, 1) AS INTEGER) AS idx, o_o
 """)
 def enum_order(spark, d):
     """An ENUM sorts by its place in the list; a SET is a bit mask."""
-    values = sorted(PRIORITIES)
     o = table(spark, d, "orders")
-    own = [r[0] for r in o.select("o_orderpriority").distinct().limit(100).collect()]
-    values = sorted(set(values) & set(own)) if set(own) <= set(values) else sorted(own)
-    idx = enum_index(values, "o_orderpriority")
-    return o.select("o_orderkey", idx.alias("idx"), enum_text(values, idx).alias("back"), set_bits(["F", "O"], "o_orderstatus").alias("bits"))
+    if other := o.where(~F.col("o_orderpriority").isin(PRIORITIES)).select("o_orderpriority").first():
+        raise ValueError(f"not in the ENUM's list: {other[0]}")
+    idx = enum_index(PRIORITIES, "o_orderpriority")
+    return o.select("o_orderkey", idx.alias("idx"), enum_text(PRIORITIES, idx).alias("back"), set_bits(["F", "O"], "o_orderstatus").alias("bits"))
 
 
 @query("""
