@@ -1,33 +1,34 @@
 """SimHash near-duplicates: tiled exact comparison with numpy exclusive-or and bit counts.
 
-A fingerprint's words are compared tile against tile. Tile pairs whose population counts differ by
-more than the radius are skipped, because every differing bit changes the count by one at most.
-
-With a radius under four, fingerprints within the radius agree exactly on at least ``4 - radius`` of
-four 16-bit lanes. Tiles are then formed within buckets of equal lanes, which loses no pair and keeps
-the work close to linear. With a larger radius all tiles are compared; that work is quadratic in the
-number of different fingerprints, divided evenly over tasks.
+Fingerprints lie in order of their population count and are cut into tiles; tiles are compared with each
+other. What differs in at most the radius of bits differs in its count by no more, so a row is sent only to
+the tiles whose counts are that near: all other tile pairs are skipped before anything is shuffled.
+
+With a radius under four the grid lies within a partition that loses no pair: fingerprints within the radius
+agree exactly on at least ``4 - radius`` of four 16-bit lanes, so each choice of lanes gives buckets with a
+grid of their own. With a larger radius there is one grid, whose work is quadratic in the number of
+different fingerprints.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.llm.common import materialize, read, ship, tasks, texts_of
 from quarry.llm.components import components
 from quarry.llm.words import fingerprint
 
-TILE = 2048  # fingerprints of a tile in a sorted stream
-HEAVY = 1024  # rows of a bucket beyond which it is dealt out in pairs of parts
+TILE = 1024  # fingerprints of a tile
 STRIP = 512  # rows of a tile that are compared with another at once
-TILES = 16  # tiles when all are compared: each fingerprint is sent to so many tasks
-BLOCK = (1024, 1 << 17)  # fingerprints of such a tile, least and most; beyond that there are more tiles
+WIDE = 1 << 14  # fingerprints of a tile where all are compared
 
 
 def fingerprint_column(text, words: int = 3, seed: int = 42, lanes: int = 1):
@@ -88,143 +89,129 @@ def _batch(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([cat(a), cat(b)], ["a", "b"])
 
 
-def _bucketed(prints: DataFrame, radius: int) -> DataFrame:
-    """Links between one-word fingerprints (column ``fp``) with a radius under four."""
-    spark = prints.sparkSession
+def _lanes(prints: DataFrame, radius: int) -> DataFrame:
+    """bucket and fp of one-word fingerprints (column ``fp``), once for each choice of ``4 - radius`` lanes."""
     lane = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(0xFFFF) for i in range(4)]
     keys = []
     for n, chosen in enumerate(combinations(range(4), 4 - radius)):
+        if len(chosen) == 4:
+            keys.append(F.col("fp"))
+            continue
         key = F.lit(n).cast("long")
         for i in chosen:
             key = F.shiftleft(key, 16).bitwiseOR(lane[i])
         keys.append(key)
-    rows = prints.select("fp", F.explode(F.array(*keys)).alias("bucket"))
-    heavy = materialize(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY), "heavy")
-    parts = F.coalesce(F.ceil(F.col("n") / HEAVY).cast("int"), F.lit(1))
-    part = F.pmod(F.xxhash64("fp", "bucket"), parts).cast("int")
-    # a row of part p meets the rows of part q under the key (min(p, q), max(p, q))
-    dealt = (
-        rows.join(heavy, "bucket", "left")
-        .select("bucket", "fp", parts.alias("parts"), part.alias("part"))
-        .select("bucket", "fp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        .select("bucket", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "fp", F.bit_count("fp").alias("ones"))
-    )
-    dealt = dealt.repartition(tasks(spark), "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "ones", "fp")
+    return prints.select(F.explode(F.array(*keys)).alias("bucket"), "fp")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # tiles whose last bucket may go on
-        for rb in batches:
-            cols = [rb.column(i).to_numpy() for i in range(5)]
-            for s in range(0, len(cols[0]), TILE):
-                bucket, p, q, fp, ones = (c[s : s + TILE] for c in cols)
-                last = (bucket[-1], p[-1], q[-1])
-                tile = (bucket, p, q, fp.view(np.uint64).reshape(-1, 1), fp, ones, last)
-                out_a, out_b = [], []
-                held = [h for h in held if h[6] == (bucket[0], p[0], q[0])]
-                for h in [*held, tile]:
-                    if h is not tile:
-                        in_h = np.flatnonzero((h[0] == bucket[0]) & (h[1] == p[0]) & (h[2] == q[0]))
-                        in_t = np.flatnonzero((bucket == bucket[0]) & (p == p[0]) & (q == q[0]))
-                        if ones[in_t].min() - h[5][in_h].max() > radius:
-                            continue
-                        near, left, right = _near(h[3][in_h], tile[3][in_t], radius, None), h[4][in_h], fp[in_t]
-                    else:
-                        near, left, right = np.triu(_near(tile[3], tile[3], radius, None), 1), fp, fp
-                    a, b = _forest(near, left, right)
-                    out_a.append(a)
-                    out_b.append(b)
-                held = [h for h in [*held, tile] if h[6] == last]
-                yield _batch(out_a, out_b)
-
-    return dealt.mapInArrow(compare, _links_schema())
 
+def tile_links(rows: DataFrame, limit: int, test: Callable[[np.ndarray, np.ndarray], np.ndarray], mix: int = 0) -> DataFrame:
+    """Links (a, b) between rows of a bucket that pass ``test``, found by comparing tiles.
 
-def _tiled(prints: DataFrame, radius: int, first: int | None, block: int | None = None) -> DataFrame:
-    """Links between fingerprints (node, words array<bigint>) of any radius, all tiles compared.
+    ``rows`` has bucket and node (long), place (int), tile_rows (int, one value a bucket) and words
+    (array<bigint>, as many for all of a bucket). Only rows whose places differ by ``limit`` or less are sure
+    to be compared. ``test`` gives the boolean matrix of two arrays of words. Within a tile pair with very
+    many links only a spanning set of them is returned. Groups of up to ``mix`` rows are compared together
+    (what passes across them is a link as well).
 
-    Fingerprints lie in order of the population count of their first word and are cut into tiles of about
-    ``block``. The counts by population are 65 rows at most, so the tile plan fits the driver.
+    A bucket with more rows than a tile is cut in order of place. The places of a bucket are few, so its plan
+    is; it tells each place the tiles within the limit, and a row is sent to the pairs of its tile with those
+    alone. Every tile pair is a unit of its own, so a hot bucket is dealt out evenly.
     """
-    spark = prints.sparkSession
-    ones = F.bit_count(F.element_at("words", 1))
-    per = {r["ones"]: r["n"] for r in prints.groupBy(ones.alias("ones")).agg(F.count("*").alias("n")).collect()}
-    limit, total = radius if first is None else min(first, radius), sum(per.values())
-    if not total:
-        return spark.createDataFrame([], _links_schema())
-    block = block or min(max(-(-total // TILES), BLOCK[0]), BLOCK[1])
-    return tile_links(prints, ones, per, limit, lambda o: (0, block), lambda a, b: _near(a, b, radius, first))
-
-
-def tile_links(prints: DataFrame, order, per: dict[int, int], limit: int, block_of, test) -> DataFrame:
-    """Links between rows (node, words array<bigint>) whose places in ``order`` differ by ``limit`` or less.
-
-    ``per`` counts the rows by place. ``block_of`` gives for a place its band and the rows of a tile; a band
-    has tiles of its own, in which all rows have as many words, and lies beyond the limit from all others.
-    ``test`` gives the boolean matrix of two arrays of words. All tiles within the limit are compared.
-    """
-    spark = prints.sparkSession
-    least, most, starts, band, tile0, at = [], [], {}, None, 0, 0
-    for o in sorted(per):
-        own, block = block_of(o)
-        if own != band:
-            band, tile0, at = own, len(least), 0
-        starts[o] = (at, per[o], tile0, block)
-        for t in range(tile0 + at // block, tile0 + (at + per[o] - 1) // block + 1):
-            if t == len(least):
-                least.append(o)
-                most.append(o)
-            most[t] = o
-        at += per[o]
-    four = lambda v: F.struct(*[F.lit(x).cast("long").alias(k) for k, x in zip(("s", "n", "tile0", "block"), v, strict=True)])
-    number = F.create_map(*[x for o, v in starts.items() for x in (F.lit(o), four(v))])[order]
-    place = number["s"] + F.floor(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30) * number["n"])
-    tile = (number["tile0"] + F.floor(place / number["block"])).cast("int")
-    packed = prints.select(tile.alias("tile"), F.struct("node", "words").alias("x")).groupBy("tile").agg(F.collect_list("x").alias("rows"))
-    packed = packed.select("tile", F.transform("rows", lambda r: r["node"]).alias("nodes"), F.flatten(F.transform("rows", lambda r: r["words"])).alias("words"))
-    packed = materialize(packed, "tiles")
-    low = [next(i for i, x in enumerate(most) if x >= least[t] - limit) for t in range(len(least))]
-    high = [max(i for i, x in enumerate(least) if x <= most[t] + limit) for t in range(len(least))]
-    pick = lambda v: F.element_at(F.array(*[F.lit(x) for x in v]), F.col("tile") + 1)
-    dealt = packed.select("tile", "nodes", "words", F.explode(F.sequence(pick(low), pick(high))).alias("other"))
-    dealt = dealt.select(F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "nodes", "words")
-    dealt = dealt.repartition(tasks(spark), "p", "q").sortWithinPartitions("p", "q", "tile")
+    spark = rows.sparkSession
+    heavy = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.first("tile_rows").alias("t")).where("n > t")
+    heavy = materialize(heavy.select("bucket", "t"), "heavy")
+    none = F.lit(0).cast("long")
+    if heavy.isEmpty():
+        dealt = rows.select("bucket", none.alias("p"), none.alias("q"), none.alias("tile"), "node", "words")
+    else:
+        per = rows.select("bucket", "place").join(heavy, "bucket").groupBy("bucket", "place").agg(F.count("*").alias("n"), F.first("t").alias("t"))
+        by = Window.partitionBy("bucket").orderBy("place")
+        upto = lambda x: F.coalesce(F.sum("n").over(by.rangeBetween(Window.unboundedPreceding, x)), none)
+        plan = per.select("bucket", "place", "n", "t", upto(-1).alias("s"), F.floor(upto(-limit - 1) / F.col("t")).alias("low"), F.floor((upto(limit) - 1) / F.col("t")).alias("high"))
+        plan = materialize(plan, "plan")
+        share = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 30)) / float(1 << 30)
+        tile = F.coalesce(F.floor((F.col("s") + F.floor(share * F.col("n"))) / F.col("t")), none)
+        dealt = rows.join(plan, ["bucket", "place"], "left").select("bucket", "node", "words", tile.alias("tile"), F.coalesce("low", none).alias("low"), F.coalesce("high", none).alias("high"))
+        dealt = dealt.select("bucket", "tile", "node", "words", F.explode(F.sequence("low", "high")).alias("other"))
+        dealt = dealt.select("bucket", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "node", "words")
+    dealt = dealt.repartition(tasks(spark), "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "tile")
+
+    def whole(nodes: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for s in range(0, len(nodes), STRIP):
+            near = test(words[s : s + STRIP], words[s:])
+            near &= np.arange(near.shape[1])[None, :] > np.arange(len(near))[:, None]
+            x, y = _forest(near, nodes[s : s + STRIP], nodes[s:])
+            if len(x):
+                yield _batch([x], [y])
+
+    def cross(nodes: np.ndarray, words: np.ndarray, left: np.ndarray) -> Iterator[pa.RecordBatch]:
+        one, two = np.flatnonzero(left), np.flatnonzero(~left)
+        for s in range(0, len(one) if len(two) else 0, STRIP):
+            own = one[s : s + STRIP]
+            x, y = _forest(test(words[own], words[two]), nodes[own], nodes[two])
+            if len(x):
+                yield _batch([x], [y])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        key, held, loose, n = None, [], [], 0
+
+        def mixed() -> Iterator[pa.RecordBatch]:
+            if loose:
+                yield from whole(np.concatenate([x[1] for x in loose]), np.concatenate([x[2] for x in loose]))
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            nonlocal loose, n
+            tile, nodes, words = (np.concatenate([x[i] for x in held]) for i in range(3))
+            if len(nodes) < 2:
+                return
+            if len(nodes) <= mix:
+                loose, n = [*loose, (tile, nodes, words)], n + len(nodes)
+                if n >= mix:
+                    yield from mixed()
+                    loose, n = [], 0
+            elif key[1] == key[2]:
+                yield from whole(nodes, words)
+            else:
+                yield from cross(nodes, words, tile == key[1])
+
         for rb in batches:
-            for i in range(rb.num_rows):
-                p, q, t = (rb.column(c)[i].as_py() for c in range(3))
-                nodes = rb.column(3)[i].values.to_numpy()
-                words = rb.column(4)[i].values.to_numpy().view(np.uint64).reshape(len(nodes), -1)
-                if p == q:
-                    left, right, a = nodes, nodes, words
-                elif held and held[:2] == (p, q):
-                    left, right, a = held[2], nodes, held[3]
-                else:
-                    held = (p, q, nodes, words)
-                    continue
-                for s in range(0, len(left), STRIP):  # a matrix of all pairs of two tiles would be large
-                    near = test(a[s : s + STRIP], words)
-                    if p == q:
-                        near &= np.arange(len(right))[None, :] > np.arange(s, s + len(near))[:, None]
-                    x, y = _forest(near, left[s : s + STRIP], right)
-                    if len(x):
-                        yield _batch([x], [y])
+            if not rb.num_rows:
+                continue
+            bucket, p, q, tile, node = (rb.column(i).to_numpy() for i in range(5))
+            flat = rb.column(5).flatten().to_numpy().view(np.uint64)
+            start = np.concatenate([[0], np.cumsum(pc.list_value_length(rb.column(5)).to_numpy())])
+            edges = np.concatenate([[0], np.flatnonzero((np.diff(bucket) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0)) + 1, [rb.num_rows]])
+            keep = np.diff(edges) > 1  # a row alone has nothing to be compared with, unless its group goes on
+            keep[[0, -1]] = True
+            for s, e in zip(edges[:-1][keep], edges[1:][keep], strict=True):
+                now = (bucket[s], p[s], q[s])
+                if now != key:
+                    if held:
+                        yield from closed()
+                    key, held = now, []
+                held.append((tile[s:e], node[s:e], flat[start[s] : start[e]].reshape(e - s, -1)))
+        if held:
+            yield from closed()
+        yield from mixed()
 
     return dealt.mapInArrow(compare, _links_schema())
 
 
-def near_links(prints: DataFrame, radius: int = 2, first: int | None = None, block: int | None = None) -> DataFrame:
+def near_links(prints: DataFrame, radius: int = 2, first: int | None = None, tile: int | None = None) -> DataFrame:
     """Links (a, b) that connect all fingerprints which differ in ``radius`` bits or fewer.
 
     ``prints`` has one row for each different fingerprint: ``node`` (long) and ``words``
-    (array<bigint>). Within a tile with very many links only a spanning set of them is returned, so
+    (array<bigint>, population counts are those of its first word). ``first`` bounds the bits in which the
+    first words differ. Within a tile pair with very many links only a spanning set of them is returned, so
     that the components are those of all links but a large group does not give all its pairs.
     """
     lanes = prints.select(F.size("words").alias("n")).first()
     if lanes and lanes["n"] == 1 and radius < 4:
-        return _bucketed(prints.select(F.element_at("words", 1).alias("fp")).distinct(), radius)
-    return _tiled(prints, radius, first, block)
+        rows = _lanes(prints.select(F.element_at("words", 1).alias("fp")).distinct(), radius)
+        rows = rows.select("bucket", F.col("fp").alias("node"), F.bit_count("fp").alias("place"), F.lit(tile or TILE).alias("tile_rows"), F.array("fp").alias("words"))
+        return tile_links(rows, radius, lambda a, b: _near(a, b, radius, None), mix=tile or TILE)
+    rows = prints.select(F.lit(0).cast("long").alias("bucket"), "node", F.bit_count(F.element_at("words", 1)).alias("place"), F.lit(tile or WIDE).alias("tile_rows"), "words")
+    return tile_links(rows, radius if first is None else min(first, radius), lambda a, b: _near(a, b, radius, first))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, lanes: int = 1, first: int | None = None, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -250,6 +237,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, lanes: int
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id of every row of documents.
+
+    Null, empty and blank texts have the fingerprint zero and are linked like any other; whole texts count,
+    however long. Equal fingerprints are linked, repeated rows each give a row, an empty table gives none, and
+    other columns are ignored.
+    """
     out = near_duplicates(read(spark, sf_dir, "documents"))
     hexed = F.lower(F.lpad(F.hex(F.element_at("words", 1)), 16, "0"))
     return out.select("doc_id", hexed.alias("fingerprint"), "component_id")

@@ -41,6 +41,31 @@ def shingle_hashes(text: bytes, k: int, seed: int) -> Iterator[np.ndarray]:
         yield np.array([digest(b" ".join(tail), seed)], dtype=np.uint64)
 
 
+def run_codes(text: bytes, k: int) -> Iterator[np.ndarray]:
+    """64-bit codes of every run of ``k`` words, A-Z lower-cased, in blocks; each word is hashed once.
+
+    Fewer than ``k`` words: the code of all of them; no word: nothing.
+    """
+    digest, tail, whole = xxhash.xxh64_intdigest, np.empty(0, np.uint64), True
+
+    def codes(h: np.ndarray, width: int) -> np.ndarray:
+        n = len(h) - width + 1
+        out = np.full(n, width, dtype=np.uint64)
+        for i in range(width):
+            out = out * np.uint64(0xD6E8FEB86659FD93) + h[i : i + n]
+        return mixed(out, 1)
+
+    for words in word_blocks(text.lower()):
+        h = np.concatenate([tail, np.fromiter(map(digest, words), np.uint64, len(words))])
+        if len(h) >= k:
+            whole = False
+            yield codes(h, k)
+            h = h[len(h) - k + 1 :]
+        tail = h
+    if whole and len(tail):
+        yield codes(tail, len(tail))
+
+
 _LOW = np.uint64(0x0101010101010101)
 
 

@@ -2,12 +2,15 @@
 
 import collections
 import random
+import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quarry.llm import embeddings, jaccard, lines, neardup, parity, sharding, simhash, warc
+from quarry.llm import words as words_module
 from quarry.llm.components import components
 from quarry.llm.words import fingerprint
 
@@ -117,18 +120,50 @@ def test_near_duplicates_match_brute_force(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
 
-def test_heavy_buckets_and_tiles_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "HEAVY", 8)
+def plain_fingerprint(text):
+    """Straight from the definition, shingle by shingle and bit by bit."""
+    words = [w for w in re.split("[\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) if w]
+    runs = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] if words else []
+    h = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_fingerprints_match_the_definition(spark):
+    rng = random.Random(5)
+    words = ["a", "Bee", "CEE", "É", "x\u00a0y", "漢字", "1", "q" * 300, "-"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", "\n", "\t\x0b", "\r\n  "]) for _ in range(rng.randint(0, 40))) for _ in range(200)] + [None, "", " \x0c ", "a b", "a b " * 5000]
+    got = simhash.near_duplicates(frame(spark, list(enumerate(texts)))).collect()
+    assert {r["doc_id"]: r["words"][0] % (1 << 64) for r in got} == {i: plain_fingerprint(t) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("tile", [None, 7, 40])
+def test_tiles_lose_nothing(spark, tile):
     rng = np.random.default_rng(1)
     seed = rng.integers(0, 2**62, 6)
     prints = {int(s) ^ (1 << int(a)) ^ (1 << int(b)) for s in seed for a, b in rng.integers(0, 20, (40, 2))}
     nodes = sorted(prints)
     df = spark.createDataFrame([(n, [n]) for n in nodes], "node bigint, words array<bigint>")
-    label = closure(len(nodes), lambda i, j: bin(nodes[i] ^ nodes[j]).count("1") <= 2)
-    want = {n: nodes[c] for n, c in zip(nodes, label, strict=True)}
-    for links in (simhash.near_links(df, 2), simhash._tiled(df, 2, None, 16)):
-        got = {r["node"]: r["root"] for r in components(links).collect()}
-        assert all(got.get(n, n) == r for n, r in want.items())
+    for radius in (0, 1, 2, 3, 5):
+        label = closure(len(nodes), lambda i, j, radius=radius: bin(nodes[i] ^ nodes[j]).count("1") <= radius)
+        want = {n: nodes[c] for n, c in zip(nodes, label, strict=True)}
+        got = {r["node"]: r["root"] for r in components(simhash.near_links(df, radius, tile=tile)).collect()}
+        assert {n: got.get(n, n) for n in nodes} == want
+
+
+def test_a_row_is_sent_only_to_tiles_within_the_radius(spark):
+    """Half the fingerprints have few bits and half many: no tile pair across them is compared."""
+    rng = np.random.default_rng(2)
+    values = [int(sum(1 << int(b) for b in rng.choice(64, n, replace=False)) - (1 << 63)) for n in [4] * 60 + [50] * 60]
+    rows = spark.createDataFrame([(0, v, bin(v % (1 << 64)).count("1"), 10, [v]) for v in sorted(set(values))], "bucket bigint, node bigint, place int, tile_rows int, words array<bigint>")
+    seen = spark.sparkContext.accumulator(0)
+
+    def test(a, b):
+        seen.add(a.shape[0] * b.shape[0])
+        return np.zeros((len(a), len(b)), bool)
+
+    assert simhash.tile_links(rows, 2, test).count() == 0
+    n = rows.count()
+    assert 0 < seen.value < 0.75 * n * n / 2
 
 
 def test_one_of_each_group_stays(spark):
@@ -165,23 +200,54 @@ def test_short_and_repetitive_near_copies_are_all_found(spark):
     assert sorted(r["doc_id"] for r in got) == [rows[i][0] for i in sorted(set(label))]
 
 
-def test_candidates_lose_no_similar_pair(spark):
+@pytest.mark.parametrize("tile", [128, 7])
+def test_sketches_lose_no_similar_pair(spark, tile):
     rng = np.random.default_rng(12)
     sets = []
     for n in [1, 2, 4, 5, 8, 9, 40, 90, 205, 250, 256, 257, 300, 500, 513, 700, 2100]:
         for share in (1.0, 0.95, 0.89, 0.85, 0.8):
             base = rng.integers(0, 2**63, n, dtype=np.uint64)
             sets += [np.unique(base), np.unique(base[: round(n * share)]), np.unique(np.concatenate([base[: round(n * (1 + share) / 2)], rng.integers(0, 2**63, n // 20, dtype=np.uint64)]))]
-    rows = []
-    for i, x in enumerate(sets):
-        bands = range(parity.band(len(x)), parity.band(int(len(x) / 0.8 + 1e-6)) + 1)
-        rows.append((i, [(k * parity.BAND + int(np.log(len(x)) / parity.STEP), [len(x), *parity.parities(x, 1 << k).tolist()]) for k in bands]))
-    df = spark.createDataFrame(rows, "node bigint, rows array<struct<place:int,words:array<bigint>>>")
+    df = spark.createDataFrame([(i % 1, i, bytearray(x.tobytes())) for i, x in enumerate(sets)], "grp bigint, node bigint, shingles binary")
     similar = jaccard.similar(sets, sets, 0.8)
-    for block in (None, 7):
-        links = components(parity.candidate_links(df, 0.8, block)).collect()
-        root = {r["node"]: r["root"] for r in links}
-        assert all(root.get(i, i) == root.get(j, j) for i, j in zip(*map(list, np.nonzero(similar)), strict=True))
+    root = {r["node"]: r["root"] for r in components(parity.candidate_links(df, 0.8, tile)).collect()}
+    assert all(root.get(i, i) == root.get(j, j) for i, j in zip(*map(list, np.nonzero(similar)), strict=True))
+
+
+def test_lanes_hold_similar_pairs_together():
+    """Of sets of a given similarity, how many pairs agree on a lane."""
+    rng = np.random.default_rng(3)
+
+    def share(similarity, pairs, n):
+        common = round(2 * n * similarity / (1 + similarity))
+        held = 0
+        for _ in range(pairs):
+            x = rng.integers(0, 2**64, 2 * n - common, dtype=np.uint64)
+            held += bool((neardup.lane_keys(x[:n]) == neardup.lane_keys(x[n - common :])).any())
+        return held / pairs
+
+    assert share(0.8, 1500, 90) == share(0.8, 500, 9) == share(0.9, 500, 300) == 1
+    assert share(0.3, 500, 200) < 0.2 and share(0.1, 500, 200) < 0.02
+    assert len(neardup.lane_keys(np.empty(0, np.uint64))) == 0
+
+
+def test_runs_of_words_across_blocks(monkeypatch):
+    text = b" ".join(b"w%d" % (i % 37) for i in range(5000))
+    whole = np.concatenate(list(words_module.run_codes(text, 5)))
+    assert len(whole) == 4996 and len(np.unique(whole)) == 37 and whole[0] == whole[37]
+    blocks = words_module.word_blocks
+    monkeypatch.setattr(words_module, "word_blocks", lambda t: blocks(t, 50))
+    assert (np.concatenate(list(words_module.run_codes(text, 5))) == whole).all()
+    assert [len(x) for x in words_module.run_codes(b"A b", 5)] == [1] and not list(words_module.run_codes(b" \n", 5))
+
+
+def test_odd_columns_and_repeated_rows_of_near_copies(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "x", 1.5), (1, text, "x", 1.5), (2, text + " end", "y", None), (3, None, None, 0.0), (3, "", "z", 0.0), (None, text, "n", 1.0), (4, "quite another text with words of its own", "k", 2.0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, `a.b` string, best double")
+    got = neardup.one_of_each(df)
+    assert got.columns == df.columns and sorted((r["doc_id"], r["a.b"]) for r in got.collect() if r["doc_id"] != 3) == [(1, "x"), (4, "k")]
+    assert [r["doc_id"] for r in got.collect()].count(3) == 1 and neardup.one_of_each(df.limit(0)).count() == 0
 
 
 def test_similar_links_match_brute_force(spark):
