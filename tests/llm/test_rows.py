@@ -113,6 +113,31 @@ def test_words_across_blocks():
     assert decontaminate.search(text, found) == (5000, [[100, 130]], {1})
 
 
+def test_search_over_small_blocks_equals_brute_force(monkeypatch):
+    rng, blocks = random.Random(9), decontaminate.word_blocks
+    say = lambda n: " ".join(rng.choice(["a", "b", "c", "é", "--", "x" * 9]) for _ in range(n))
+    for k in range(200):
+        monkeypatch.setattr(decontaminate, "word_blocks", lambda t, k=k: blocks(t, 1 + k % 40))
+        bench = [(i, say(rng.choice([1, 2, 3, 4, 9, 10, 11, 14]))) for i in range(4)]
+        text = say(40) + " " + bench[0][1] + " ? " + bench[3][1] + " " + say(rng.randint(0, 9))
+        n, spans, items = decontaminate.search(text.encode(), decontaminate.matchers(bench))
+        assert (n, sum(e - s for s, e in spans), sorted(items)) == brute_hits(text, bench)
+
+
+def test_memory_of_a_part_is_bounded():
+    import tracemalloc
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(20_000)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(200))) for i in range(500)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    found = decontaminate.matchers(items)
+    peak, held = tracemalloc.get_traced_memory()[1], tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert found and peak < 60 * size and held < 40 * size  # 240 MB and 160 MB for a whole part
+
+
 def test_few_words_of_a_block_are_carried_over():
     words = [f"w{i}" for i in range(30)]
     found = decontaminate.matchers([(1, " ".join(words[:12])), (2, " ".join(words[3:6]))])
