@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -75,6 +76,25 @@ def tasks(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
 
 
+def end_to_end(rows: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """``rows`` with ``end_at``, the running total of the column ``size`` in the order of ``keys``, and
+    ``at``, which orders rows of equal keys. ``rows`` is a table that reads the same each time.
+
+    Rows are dealt out by ranges of the keys (equal ones by their place in the table, so any number of them is
+    split) and summed there; the totals of the ranges, one row for each partition, give where each begins.
+    """
+    spark = rows.sparkSession
+    own = rows.withColumn("at", F.monotonically_increasing_id())
+    own = own.repartitionByRange(tasks(spark), *keys, "at").withColumn("_q_part", F.spark_partition_id())
+    own = materialize(own, "ranges")
+    totals = own.groupBy("_q_part").agg(F.sum(size).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_q_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select("_q_part", before.alias("_q_before"))  # a row for each partition
+    inner = F.sum(size).over(Window.partitionBy("_q_part").orderBy(*keys, "at").rowsBetween(Window.unboundedPreceding, 0))
+    out = own.withColumn("_q_end", inner).join(F.broadcast(totals), "_q_part")
+    return out.withColumn("end_at", (F.col("_q_end") + F.col("_q_before")).cast("long")).drop("_q_part", "_q_end", "_q_before")
+
+
 def texts_of(array: pa.Array, rows: int = 128) -> Iterator[list[bytes | None]]:
     """The UTF-8 of a batch of strings, a few at a time, so that a worker never holds all of them twice."""
     array = array.cast(pa.binary())

@@ -1,8 +1,10 @@
 """Operators that compare rows of a table: against brute force, with awkward rows."""
 
 import collections
+import gzip
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -297,23 +299,68 @@ def test_vectors_match_brute_force(spark, cell):
 
 
 # fixity
-def test_audit_finds_damage_and_files_come_back(spark, place):
-    rows = [(i, f"http://x/{i}", f"<p>page {i}</p>\r\n" * (i % 7)) for i in range(500)] + [(None, None, None), (3, "http://x/3", "<p>page 3</p>\r\n" * 3)]
-    pages = spark.createDataFrame([(*r, 0) for r in rows], "page_id bigint, url string, html string, digest int")
-    recs = warc.records(pages)
-    layout = warc.laid_out(recs, 20_000)
-    one = warc.trees(layout, fanout=4)
-    depth = len(one.levels) - 1
-    assert warc.audit(one, warc.trees(layout, depth, 4), 4).count() == 0
-    bad = pages.withColumn("html", F.when(F.col("page_id").isin(17, 333), F.concat(F.lit("!"), "html")).otherwise(F.col("html")))
-    two = warc.trees(warc.laid_out(warc.records(bad), 20_000), depth, 4)
-    found = warc.audit(one, two, 4).collect()
-    at = {(r["file_no"], r["record_no"]): r["page_id"] for r in one.leaves.collect()}
-    assert {at[r["file_no"], r["no"]] for r in found} == {17, 333} and {r["status"] for r in found} == {"damaged"}
-    less = warc.trees(layout.where("NOT (file_no = 0 AND record_no >= 3)"), depth, 4)
-    assert {r["status"] for r in warc.audit(one, less, 4).collect()} == {"missing"}
-    warc.write_warc(recs, layout, f"{place}/warc")
-    back = collections.Counter((r["page_id"], r["url"], r["html"]) for r in warc.read_warc(spark, f"{place}/warc").collect())
-    assert set(back) == {(i, u or "", h or "") for i, u, h in rows}
-    nothing = warc.trees(warc.laid_out(warc.records(pages.limit(0))))
+def page_rows():
+    rows = [(i, f"http://x/{i}", f"<p>page {i}</p>\r\n\r\nWARC/1.1\r\n" * (i % 7)) for i in range(400)]
+    return rows + [(None, None, None), (None, "u\r\nv", "é漢"), (3, "http://x/3", rows[3][2]), (3, "http://x/3", rows[3][2]), (500, "long", "<br>" * 50_000)]
+
+
+def test_files_come_back_and_headers_are_whole(spark, place):
+    rows = page_rows()
+    pages = spark.createDataFrame([(*r, 0, "b", 1) for r in rows], "page_id bigint, url string, html string, digest int, block string, size int")
+    layout = warc.laid_out(pages, 20_000).cache()
+    own = layout.collect()
+    assert len(own) == len(rows) and len({r["record_id"] for r in own}) == len(rows)
+    files = collections.defaultdict(list)
+    for r in own:
+        files[r["file_no"]].append((r["record_no"], r["start_at"], r["end_at"]))
+    for records in files.values():
+        records.sort()
+        assert [n for n, _, _ in records] == list(range(len(records))) and records[0][1] == 0
+        assert all(a[2] == b[1] for a, b in zip(records, records[1:]))
+    warc.write_warc(pages, layout, f"{place}/warc")
+    back = warc.read_warc(spark, f"{place}/warc").collect()
+    assert collections.Counter((r["page_id"], r["html"]) for r in back) == collections.Counter((i, h or "") for i, _, h in rows)
+    place_of = lambda r: (r["file_no"], r["record_no"], r["start_at"], r["end_at"], r["record_id"], r["digest"])
+    assert sorted(map(place_of, back)) == sorted(map(place_of, own))
+    data = b"".join(p.read_bytes() for p in Path(f"{place}/warc/file_no=0".removeprefix("file://")).glob("part*"))
+    first = next(warc.parsed(data))
+    assert {"warc-record-id", "warc-date", "warc-type", "content-length", "warc-block-digest"} <= set(first[2])
+    assert [x[:3] for x in warc.parsed(gzip.compress(data[:500]) + gzip.compress(data[500:]))] == [x[:3] for x in warc.parsed(data)]
+
+
+def test_audit_tells_lost_extra_damaged_and_moved_records(spark):
+    pages = spark.createDataFrame(page_rows(), "page_id bigint, url string, html string")
+    own = [r.asDict() for r in warc.laid_out(pages, 20_000).select("file_no", "record_no", "start_at", "end_at", "record_id", "digest").collect()]
+    schema = "file_no bigint, record_no bigint, start_at bigint, end_at bigint, record_id string, digest string"
+
+    def replica(files):
+        out = []
+        for f, records in files.items():
+            at = 0
+            for n, r in enumerate(records):
+                size = r["end_at"] - r["start_at"]
+                out.append((f, n, at, at + size, r["record_id"], r["digest"]))
+                at += size
+        return warc.trees(spark.createDataFrame(out, schema))
+
+    files = collections.defaultdict(list)
+    for r in sorted(own, key=lambda r: (r["file_no"], r["record_no"])):
+        files[r["file_no"]].append(r)
+    one, f = replica(files), max(files, key=lambda f: len(files[f]))
+    g = next(x for x in files if x != f and len(files[x]) > 3)
+    assert warc.audit(one, replica(files)).count() == 0
+    told = lambda changed: {(r["record_id"], r["status"]) for r in warc.audit(one, replica(changed)).collect()}
+    ids = [r["record_id"] for r in files[f]]
+    middle = len(ids) // 2
+    alien = {"record_id": "alien", "digest": "ff", "start_at": 0, "end_at": 77}
+    rotten = files[f][5] | {"digest": "00" + files[f][5]["digest"][2:]}
+    assert told(files | {f: files[f][:middle] + files[f][middle + 1 :]}) == {(ids[middle], "missing")}
+    assert told(files | {f: [*files[f][:middle], alien, *files[f][middle:]]}) == {("alien", "extra")}
+    assert told(files | {f: [*files[f][:2], *files[f][3:], files[f][2]]}) == {(ids[2], "moved")}
+    assert told(files | {f: [*files[f][:2], *files[f][3:]], g: [*files[g][:1], files[f][2], *files[g][1:]]}) == {(ids[2], "moved")}
+    everything = [*files[f][:5], rotten, *files[f][6:middle], alien, *files[f][middle + 1 :]]
+    assert told(files | {f: everything}) == {(ids[5], "damaged"), (ids[middle], "missing"), ("alien", "extra")}
+    assert told(files | {f: [*files[f][:8], files[f][7], *files[f][8:]]}) == {(ids[7], "extra")}
+    assert told({k: v for k, v in files.items() if k != g}) == {(r["record_id"], "missing") for r in files[g]}
+    nothing = warc.trees(warc.laid_out(pages.limit(0)))
     assert warc.audit(nothing, nothing).count() == 0
