@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import read
+from quarry.llm.common import end_to_end, materialize, read
 
-TURNS = 256  # turn numbers of a part
+PART_CHARS = 1 << 20  # code points of roles and texts in a row, about; only longer dialogues take several
 SYSTEM = ("system",)
 END = "<|end|>"
 
@@ -21,7 +21,7 @@ def _plain(c):
     return F.replace(F.coalesce(c, F.lit("")), F.lit("<|"), F.lit("< |"))
 
 
-def rotate(turns: DataFrame, turns_per_part: int = TURNS, system: tuple[str, ...] = SYSTEM) -> DataFrame:
+def rotate(turns: DataFrame, part_chars: int = PART_CHARS, system: tuple[str, ...] = SYSTEM) -> DataFrame:
     """conv_id, part, participant, n_turns, n_own, rendered and mask of every perspective.
 
     ``turns`` has conv_id, turn, role (the speaker) and text. Participants are all speakers of the whole
@@ -29,16 +29,31 @@ def rotate(turns: DataFrame, turns_per_part: int = TURNS, system: tuple[str, ...
     a participant gives no row. The mask is an array of struct<start, end> over code points of
     ``rendered``: the participant's texts with their end marks.
 
-    A long conversation comes in parts, each with the turn numbers of one block of ``turns_per_part``, so
-    that no task holds a whole one; parts joined by number are the dialogue, and masks count within a
-    part. Turns are in order of turn, then role, then text, nulls first; repeated rows are repeated turns.
-    A null turn is in part 0, a null text is empty, a null role is rendered as a user named unknown
-    and is no participant; rows with a null conv_id are one conversation. "<|" in texts and names becomes
-    "< |". Other columns are ignored.
+    A row holds the whole dialogue (part 0). One of more than ``part_chars`` goes on in further rows, cut
+    between turns where that many are full, so that no task holds an unbounded one: ``rendered`` of the parts,
+    joined by number, is the dialogue, and masks count within a part. Turns are in order of turn, then role,
+    then text, nulls first; repeated rows are repeated turns. A null text is empty, a null role is rendered as
+    a user named unknown and is no participant; rows with a null conv_id are one conversation. "<|" in texts
+    and names becomes "< |". Other columns are ignored.
     """
-    part = F.floor(F.coalesce("turn", F.lit(0)) / turns_per_part).cast("long")
-    rows = turns.select("conv_id", part.alias("part"), F.struct("turn", "role", "text").alias("t"))
-    parts = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    size = (F.coalesce(F.length("role"), F.lit(0)) + F.coalesce(F.length("text"), F.lit(0)) + 16).cast("long")
+    rows = turns.select("conv_id", "turn", "role", "text")
+    # sizes are summed before the exchange; only conversations too long for a row are put in order by ranges
+    long = rows.groupBy("conv_id").agg(F.sum(size).alias("n")).where(F.col("n") > part_chars)
+    long = materialize(long.select(F.col("conv_id").alias("_q_conv")), "long")
+    held = F.struct("turn", "role", "text").alias("t")
+    if long.isEmpty():
+        dealt = rows.select("conv_id", F.lit(0).cast("long").alias("part"), held)
+    else:
+        same = F.col("conv_id").eqNullSafe(F.col("_q_conv"))
+        short = rows.join(long, same, "left_anti").select("conv_id", F.lit(0).cast("long").alias("part"), held)
+        placed = materialize(rows.join(long, same, "left_semi").withColumn("_q_size", size), "turns")
+        placed = end_to_end(placed, ["conv_id", "turn", "role", "text"], "_q_size")
+        begin = placed.groupBy(F.col("conv_id").alias("_q_conv")).agg(F.min(F.col("end_at") - F.col("_q_size")).alias("_q_begin"))
+        placed = placed.join(materialize(begin, "begin"), same)
+        part = F.floor((F.col("end_at") - F.col("_q_size") - F.col("_q_begin")) / part_chars).cast("long")
+        dealt = short.unionByName(placed.select("conv_id", part.alias("part"), held))
+    parts = dealt.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     speakers = turns.where(F.col("role").isNotNull() & ~F.col("role").isin(*system)).select(F.col("conv_id").alias("_q_conv"), F.col("role").alias("participant")).distinct()
     both = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("_q_conv"))).drop("_q_conv")
 
@@ -72,13 +87,15 @@ def rotate(turns: DataFrame, turns_per_part: int = TURNS, system: tuple[str, ...
 
 
 def op3_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every perspective of every conversation, as :func:`rotate` says, with the mask as start:end pairs."""
     out = rotate(read(spark, sf_dir, "conversations"))
     return out.withColumn("mask", F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["start"], m["end"])), ","))
 
 
 OP3_SQL = r"""
 WITH t AS (
-  SELECT conv_id, CAST(floor(coalesce(turn, 0) / 256) AS BIGINT) AS part, turn, role, text FROM conversations
+  SELECT conv_id, CAST((sum(n) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST ROWS UNBOUNDED PRECEDING) - n) // 1048576 AS BIGINT) AS part,
+    turn, role, text FROM (SELECT *, coalesce(length(role), 0) + coalesce(length(text), 0) + 16 AS n FROM conversations)
 ), s AS (
   SELECT DISTINCT conv_id, role AS participant FROM conversations WHERE role IS NOT NULL AND role <> 'system'
 ), p AS (

@@ -279,15 +279,45 @@ def test_encode_rows(spark, tokenizer):
 
 
 # dialogues
-def test_every_perspective(spark):
-    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|end|>"), (1, 2, "bob", "yo"), (1, 300, "ann", None), (1, None, None, "?"), (2, 0, "system", "x"), (None, 0, "ann", "a"), (None, 0, "ann", "a")]
-    got = chat.rotate(spark.createDataFrame([(*r, "x", "y") for r in rows], "conv_id bigint, turn bigint, role string, text string, part string, participant string")).collect()
-    found = {(r["conv_id"], r["part"], r["participant"]): r for r in got}
-    assert set(found) == {(1, 0, "ann"), (1, 0, "bob"), (1, 1, "ann"), (1, 1, "bob"), (None, 0, "ann")}
-    ann = found[1, 0, "ann"]
-    assert ann["rendered"] == "<|user name=unknown|>\n?<|end|>\n<|system|>\nbe kind<|end|>\n<|assistant|>\nhi < |end|><|end|>\n<|user name=bob|>\nyo<|end|>\n"
-    assert [ann["rendered"][m["start"] : m["end"]] for m in ann["mask"]] == ["hi < |end|><|end|>"]
-    assert found[1, 1, "bob"]["mask"] == [] and found[1, 1, "ann"]["n_own"] == 1 and found[None, 0, "ann"]["n_turns"] == 2
+def render(turns, who):
+    """The dialogue as ``who`` sees it, and the mask, in plain Python."""
+    out, mask = "", []
+    plain = lambda t: (t or "").replace("<|", "< |")
+    for _, role, text in sorted(turns, key=lambda t: [(x is not None, x if x is not None else 0) for x in t]):
+        out += "<|assistant|>\n" if role == who else "<|system|>\n" if role == "system" else f"<|user name={plain(role if role is not None else 'unknown')}|>\n"
+        body = plain(text) + "<|end|>"
+        if role == who:
+            mask.append((len(out), len(out) + len(body)))
+        out += body + "\n"
+    return out, mask
+
+
+@pytest.mark.parametrize("part_chars", [chat.PART_CHARS, 300])
+def test_every_perspective(spark, part_chars):
+    rng = random.Random(8)
+    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|end|>"), (1, 2, "bob", "yo 漢😀"), (1, 3000, "ann", None), (1, None, None, "?"), (2, 0, "system", "x"), (None, 0, "ann", "a"), (None, 0, "ann", "a"), (5, 1, "<|x", "")]
+    rows += [(c, rng.choice([None, rng.randrange(40)]), rng.choice(["ann", "bob", "cy", "system", None]), rng.choice([None, "", "word " * rng.randint(0, 30)])) for c in (7, 8) for _ in range(120)]
+    rows += [(9, 4, "ann", "same")] * 60 + [(10, 1, "ann", "long " * 20_000), (10, 2, "bob", "ok")]
+    got = chat.rotate(spark.createDataFrame([(*r, "x", "y") for r in rows], "conv_id bigint, turn bigint, role string, text string, part string, participant string"), part_chars).collect()
+    convs = collections.defaultdict(list)
+    for c, *t in rows:
+        convs[c].append(tuple(t))
+    want = {(c, who): render(t, who) for c, t in convs.items() for who in {r for _, r, _ in t} - {"system", None}}
+    parts = collections.defaultdict(list)
+    for r in got:
+        parts[r["conv_id"], r["participant"]].append(r)
+    assert set(parts) == set(want)
+    for key, own in parts.items():
+        own.sort(key=lambda r: r["part"])
+        whole, mask, n = "", [], 0
+        for r in own:
+            mask += [(m["start"] + len(whole), m["end"] + len(whole)) for m in r["mask"]]
+            whole, n = whole + r["rendered"], n + r["n_own"]
+            assert len(r["mask"]) == r["n_own"]
+        assert (whole, mask) == want[key] and n == len(mask)
+        assert sum(r["n_turns"] for r in own) == len(convs[key[0]])
+        assert part_chars == 300 or len(own) == 1
+    assert part_chars != 300 or len(parts[9, "ann"]) > 3 and max(r["n_turns"] for r in parts[9, "ann"]) <= 300 // 16
     assert chat.rotate(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
 
 
