@@ -6,8 +6,8 @@ overflows continues clockwise to the next shard with room. The capacities add up
 documents and differ by one at most, so the shards do too.
 
 Only the count of each cell goes to the driver (a fixed number of rows); the ring is walked there once,
-which gives each cell a few runs of ranks with their shard and first slot. Documents are ranked within
-their cells, so no task holds a shard.
+which gives each cell a few runs of ranks with their shard and first slot. Equal documents are counted, not
+ranked one by one, and large cells are cut by hash, so no task holds a shard, a hot id or a hot text.
 """
 
 from __future__ import annotations
@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import materialize, read
+from quarry.llm.common import materialize, read, tasks
 
 CELLS = 1 << 16
 VIRTUAL = 128  # virtual nodes of a shard
 SHARDS = 24
+BLOCK = 65_536  # groups that are ranked in one task, and slots that one task writes for a group
 
 
 def ring(spark: SparkSession, shards: int, virtual: int = VIRTUAL, cells: int = CELLS) -> list[int]:
@@ -65,35 +66,54 @@ def walk(owners: list[int], counts: list[int], shards: int) -> list[tuple[int, i
     return runs
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL, cells: int = CELLS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL, cells: int = CELLS, block: int = BLOCK) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row of ``docs`` (doc_id, text).
 
     size is the UTF-8 bytes of the text plus 8 (null: 8), text_crc32 that of the text (null: of the
-    empty text). Slots of a shard go from 0 without a gap. Rows of a cell are ranked by doc_id, size and
-    crc, so that repeated rows get a slot each; null ids have a cell like any other. Other columns are
-    ignored. The text itself is never shuffled. Law: the counts of the shards differ by one at most.
+    empty text). Slots of a shard go from 0 without a gap. Rows that are equal in doc_id, size and crc can't
+    be told apart: they are one group with as many slots. The groups of a cell are cut by hash into pieces of
+    about ``block``, and ranked by doc_id, size and crc within their piece; null ids have a cell like any
+    other. An empty table gives an empty one. Other columns are ignored, the text itself is never shuffled.
+    Law: the counts of the shards differ by one at most.
     """
     spark = docs.sparkSession
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(
-        "doc_id",
-        (F.octet_length(text) + 8).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.lit("key"), "doc_id"), F.lit(cells)).cast("int").alias("cell"),
-    )
-    rows = materialize(rows, "keys")
-    counts = [0] * cells
-    for r in rows.groupBy("cell").agg(F.count("*").alias("n")).toLocalIterator():
+    text, same = F.coalesce("text", F.lit("")), ["doc_id", "size", "text_crc32"]
+    rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    cell = F.pmod(F.xxhash64(F.lit("key"), "doc_id"), F.lit(cells)).cast("int")
+    groups = materialize(rows.groupBy(*same).agg(F.count("*").alias("n")).withColumn("cell", cell), "keys")
+    counts, pieces = [0] * cells, []
+    for r in groups.groupBy("cell").agg(F.sum("n").alias("n"), F.count("*").alias("groups")).toLocalIterator():
         counts[r["cell"]] = r["n"]
+        if r["groups"] > block:
+            pieces.append((r["cell"], -(-r["groups"] // block)))
     runs = walk(ring(spark, shards, virtual, cells), counts, shards)
     plan = spark.createDataFrame(runs, "cell int, first bigint, end bigint, shard int, slot bigint")
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy("doc_id", "size", "text_crc32")).cast("long") - 1
-    ranked = rows.withColumn("rank", rank).alias("r")
+    none = F.lit(0).cast("long")
+    if pieces:  # of fixed number: at most one row for each cell
+        groups = groups.join(F.broadcast(spark.createDataFrame(pieces, "cell int, pieces bigint")), "cell", "left")
+        groups = groups.withColumn("piece", F.pmod(F.xxhash64(F.lit("piece"), *same), F.coalesce("pieces", F.lit(1)))).drop("pieces")
+    else:
+        groups = groups.withColumn("piece", none)
+    upto = F.sum("n").over(Window.partitionBy("cell", "piece").orderBy(*same).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = groups.withColumn("to", upto)
+    if pieces:
+        before = F.sum("m").over(Window.partitionBy("cell").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
+        starts = groups.groupBy("cell", "piece").agg(F.sum("n").alias("m")).select("cell", "piece", F.coalesce(before, none).alias("before")).where("before > 0")
+        ranked = ranked.join(materialize(starts, "pieces"), ["cell", "piece"], "left").withColumn("to", F.col("to") + F.coalesce("before", none))
+    ranked = ranked.withColumn("from", F.col("to") - F.col("n")).alias("r")
     # at most a few runs for each of a fixed number of cells: about 3 MB at the default
-    joined = ranked.join(F.broadcast(plan.alias("p")), (F.col("r.cell") == F.col("p.cell")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
-    return joined.select("doc_id", "size", "text_crc32", "shard", (F.col("slot") + F.col("rank") - F.col("first")).alias("slot"))
+    low, high = F.greatest("from", "first"), F.least("to", "end")
+    joined = ranked.join(F.broadcast(plan.alias("p")), (F.col("r.cell") == F.col("p.cell")) & (F.col("from") < F.col("end")) & (F.col("to") > F.col("first")))
+    joined = joined.select(*same, "shard", (F.col("slot") + low - F.col("first")).alias("slot"), (high - low).alias("n"))
+    some = joined.where(F.col("n") <= block).withColumn("i", F.explode(F.sequence(none, F.col("n") - 1)))
+    # a group with very many slots is dealt out in blocks
+    many = joined.where(F.col("n") > block).withColumn("b", F.explode(F.sequence(none, F.col("n") - 1, F.lit(block).cast("long")))).repartition(tasks(spark), "shard", "slot", "b")
+    many = many.withColumn("i", F.explode(F.sequence(F.col("b"), F.least(F.col("b") + block, F.col("n")) - 1))).drop("b")
+    return some.unionByName(many).select(*same, "shard", (F.col("slot") + F.col("i")).alias("slot"))
 
 
 def op5_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot and grown_shard (null: the law is rows) of every row of
+    documents, as :func:`shard` says of nulls, empty texts, repeated rows, hot ids and an empty table."""
     out = shard(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
