@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 
@@ -237,6 +238,55 @@ def test_risk_is_never_negative_in_effect():
     assert (m(p) > 0.5).mean() > 0.85 and (m(n) < 0.5).mean() > 0.8
 
 
+@pytest.mark.parametrize("prior", [0.5, 0.9])
+def test_weights_minimise_the_risk(prior):
+    """Against a plain, independent risk: no small change of the weights lowers it. A prior that is too high
+    lets the part of the negatives fall below zero."""
+    rng = np.random.default_rng(1)
+    one = lambda x: np.hstack([x, np.ones((len(x), 1))])
+    p, u = one(rng.normal(1, 1, (300, 2))), one(np.vstack([rng.normal(1, 1, (300, 2)), rng.normal(-1, 1, (300, 2))]))
+
+    def plain(w):
+        loss = lambda z: np.mean(np.log1p(np.exp(-z)))
+        return prior * loss(p @ w) + max(0.0, loss(-(u @ w)) - prior * loss(-(p @ w)))
+
+    w = quality.minimised(p, u, prior, 1e-5)
+    assert abs(plain(w) - quality.risk(w, p, u, prior)[0]) < 1e-9
+    if prior == 0.5:
+        assert all(plain(w) <= plain(w + d) + 1e-4 for d in rng.normal(0, 0.05, (200, 3)))
+    else:
+        free = quality.newton(u, prior * p.mean(axis=0), 1e-5)
+        assert quality.risk(free, p, u, prior)[1] < -1 and quality.risk(w, p, u, prior)[1] > -0.05 and np.abs(w).max() < 20
+
+
+def test_prior_is_estimated_from_positives_and_unlabelled_rows():
+    rng = np.random.default_rng(2)
+    one = lambda x: np.hstack([x, np.ones((len(x), 1))])
+    for true in (0.2, 0.5, 0.8):
+        draw = lambda n, share: np.where(rng.random((n, 1)) < share, rng.normal(2, 1, (n, 4)), rng.normal(-2, 1, (n, 4)))
+        assert abs(quality.class_prior(one(draw(3000, 1)), one(draw(6000, true))) - true) < 0.05
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the test tables")
+def test_held_out_accuracy(spark):
+    """Of the rows that nothing was learnt from, how many are told as their label says."""
+    d = "/root/testdata/sf0.1"
+    rows = quality.op7_pu(spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").select("quality", "predicted", "score").collect()
+    good, bad = ([r["score"] for r in rows if r["quality"] == k] for k in (1, 0))
+    auc = np.mean([np.mean([(g > b) + 0.5 * (g == b) for b in bad]) for g in good])
+    print("held out", len(good), len(bad), "kept", np.mean([s >= quality.THRESHOLD for s in good]), "rejected", np.mean([s < quality.THRESHOLD for s in bad]), "auc", auc)
+    assert len(good) > 50 and len(bad) > 20
+    assert np.mean([s >= quality.THRESHOLD for s in good]) > 0.98 and np.mean([s < quality.THRESHOLD for s in bad]) > 0.95 and auc > 0.98
+
+
+def test_hot_ids_and_texts_do_not_flood_the_sample(spark):
+    rows = [(None, "a hot text that is repeated")] * 3000 + [(i, f"own text number {i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(150)], "doc_id bigint, quality int, toxic int")
+    model = quality.train(docs, labels, sample=1000)
+    assert 0 < model.prior < 1 and quality.score(docs, labels, 1000).count() == 3200
+
+
 # tokens
 @pytest.fixture(scope="module")
 def tokenizer():
