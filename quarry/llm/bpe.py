@@ -187,4 +187,9 @@ def encode(docs: DataFrame, path: str | None = None, digests: bool = False, id_c
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of documents.
+
+    Null and empty texts have no tokens; whole texts are encoded, however long; repeated rows each give a row,
+    an empty table gives none, and other columns are ignored.
+    """
     return encode(read(spark, sf_dir, "documents"), digests=True)

@@ -21,7 +21,7 @@ from quarry.llm.components import components
 from quarry.llm.simhash import _forest
 
 COSINE = 0.95
-PIVOTS = (8, 256)  # least and most
+PIVOTS = (8, 4096)  # least and most; between them one for each CELL vectors
 CELL = 16384  # vectors for each pivot, and of a block of a large cell
 LEADING = 16  # pivot directions that bound the cosine
 SEED = 11
@@ -81,7 +81,6 @@ def _assign(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
 def _guests(homed: DataFrame, pivots: np.ndarray, farthest: np.ndarray, blocks: np.ndarray, least: float) -> DataFrame:
     """Each row once for every (cell, block) in which it is a member or a guest."""
     radius = np.sqrt(2 - 2 * least)
-    apart = np.sqrt(np.maximum(0.0, 2 - 2 * pivots @ pivots.T))
     many = np.asarray(blocks, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,8 +90,9 @@ def _guests(homed: DataFrame, pivots: np.ndarray, farthest: np.ndarray, blocks:
                 dots = _matrix(rb.column(1)) @ pivots.T
                 node, home = rb.column(0).to_numpy(), rb.column(3).to_numpy()
                 own = dots[np.arange(len(home)), home]
+                apart = np.sqrt(np.maximum(0.0, 2 - 2 * pivots[home] @ pivots.T))
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    border = np.where(apart[home] > 0, (own[:, None] - dots) / apart[home], 0.0)
+                    border = np.where(apart > 0, (own[:, None] - dots) / apart, 0.0)
                 reach = np.sqrt(np.maximum(0.0, 2 - 2 * dots)) <= farthest[None, :] + radius + 1e-9
                 guest = (border <= radius + 1e-9) & reach & (np.arange(dots.shape[1])[None, :] > home[:, None]) & (many[None, :] > 0)
                 block = (node.view(np.uint64) % many[home].astype(np.uint64)).astype(np.int64)
@@ -178,7 +178,7 @@ def near_vectors(table: DataFrame, least: float = COSINE, pivots: tuple[int, int
     component_id the smallest vec_id that links reach, itself included. Null, empty and zero vectors, and
     those with a null, infinite or undefined component link with nothing; vectors of different dimensions
     don't either. Equal vectors are linked, compared once and counted as often as they occur, so that
-    copies don't multiply the work. Vectors are told apart by a 64-bit hash of their content. Repeated
+    copies don't multiply the work. Vectors are told apart by 128 bits of hash of their content. Repeated
     rows each count; a null vec_id is not the smallest unless there is no other. Other columns are
     ignored. The pivots are a bounded sample (``pivots``: least and most); everything else reads all rows.
     """
@@ -189,15 +189,16 @@ def near_vectors(table: DataFrame, least: float = COSINE, pivots: tuple[int, int
     length = F.aggregate("v", F.lit(0.0), lambda s, v: s + v * v)
     rows = table.select("vec_id", vector.alias("v"))
     rows = rows.withColumn("good", F.coalesce((F.size("v") > 0) & ~F.exists("v", bad) & (length > 0) & (length < float("inf")), F.lit(False)))
-    rows = materialize(rows.select("vec_id", F.when(F.col("good"), F.col("v")).alias("v"), F.when(F.col("good"), F.xxhash64("v")).alias("node")), "vectors")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.first("v").alias("embedding"), F.count("*").alias("copies"), F.min("vec_id").alias("least"))
-    nodes = materialize(nodes, "nodes")
+    hashes = [F.when(F.col("good"), F.xxhash64(F.lit(i), "v")).alias(f"h{i}") for i in range(2)]
+    rows = materialize(rows.select("vec_id", F.when(F.col("good"), F.col("v")).alias("v"), *hashes), "vectors")
+    nodes = rows.where("h0 is not null").groupBy("h0", "h1").agg(F.first("v").alias("embedding"), F.count("*").alias("copies"), F.min("vec_id").alias("least"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     counts = {r["d"]: r["n"] for r in nodes.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).collect()}
     found = []
     for d, n in sorted(counts.items()):
         part = nodes.where(F.size("embedding") == d).select("node", "embedding", "copies")
         k = int(min(max(n // cell, pivots[0]), pivots[1], n))
-        chosen = part.orderBy(F.xxhash64(F.lit(SEED), "node"), "node").limit(k).select("embedding").collect()
+        chosen = part.orderBy(F.xxhash64(F.lit(SEED), "embedding"), "node").limit(k).select("embedding").collect()
         at = _unit(np.array([r[0] for r in chosen], dtype=np.float64), k)
         homed = materialize(_assign(part, at), "homed")
         far, many = np.zeros(k), np.zeros(k)
@@ -215,13 +216,15 @@ def near_vectors(table: DataFrame, least: float = COSINE, pivots: tuple[int, int
     else:
         links, roots = spark.createDataFrame([], "node bigint, others bigint"), spark.createDataFrame([], "node bigint, root bigint")
     rooted = nodes.join(links, "node", "left").join(roots, "node", "left")
-    rooted = materialize(rooted.select("node", "least", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root")), "rooted")
+    rooted = materialize(rooted.select("h0", "h1", "least", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root")), "rooted")
     smallest = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
-    result = materialize(rooted.join(smallest, "root").select("node", "n_links", "component_id"), "result")
-    return rows.join(result, "node", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+    result = materialize(rooted.join(smallest, "root").select("h0", "h1", "n_links", "component_id"), "result")
+    out = rows.select("vec_id", "h0", "h1").join(result, ["h0", "h1"], "left")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("h0").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def op6_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every row of embeddings, as :func:`near_vectors` says."""
     out = near_vectors(read(spark, sf_dir, "embeddings"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 

@@ -308,6 +308,15 @@ def test_tree_equals_the_library(tokenizer):
         assert own.decode(own.encode(s)).decode() == tokenizer.decode(want, skip_special_tokens=False)
 
 
+def test_megabytes_that_nothing_splits(tokenizer):
+    rng, own = random.Random(4), bpe.codec(bpe.default_path())
+    texts = ["a" * 2_000_000, "".join(rng.choice("etaoinshrdlu") for _ in range(1_500_000)), "漢字かな交じり" * 60_000, " " * 300_000 + "x" + "\t" * 300_000, "ab" * 400_000 + " " + "=-" * 300_000]
+    for text in texts:
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        ids = own.encode(text)
+        assert ids.tolist() == want and own.decode(ids) == text.encode()
+
+
 def test_bytes_that_are_no_text():
     own = bpe.codec(bpe.default_path())
     assert own.decode(np.array([own.ranks[b"\xff"], own.ranks[b"a"]])) == "�a".encode()

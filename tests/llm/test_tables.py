@@ -331,7 +331,7 @@ def brute_vectors(rows, least=0.95):
     return collections.Counter((v, sum(linked[i]), low.get(label[i])) for i, (v, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("cell", [8, 4096])
+@pytest.mark.parametrize("cell", [1, 8, 4096])
 def test_vectors_match_brute_force(spark, cell):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(5, 12))
