@@ -69,3 +69,25 @@ def test_stages_keep_the_columns_and_empty_tables(spark, tables):
         out = stage(spark, docs, d)
         assert out.columns == docs.columns and out.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, d).count() == 0
+
+
+def test_stages_keep_clashing_and_odd_columns(spark, tables):
+    """Columns named like those that the operators make, or with dots and blanks, come out as they went in."""
+    d, rows, _ = tables
+    odd = ["score", "hits", "n_lines", "n_dropped", "a.b", "a b", "key", "grp", "node", "best", "positive", "mark", "_q_a", "TEXT2"]
+    docs = spark.createDataFrame([(*r[:2], *[f"{c} {k}" for c in odd], k) for k, r in enumerate(rows)], "doc_id bigint, text string, " + ", ".join(f"`{c}` string" for c in odd) + ", n_chars int")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all(r[c].startswith(c + " ") and r[c].removeprefix(c + " ") == r["a.b"].removeprefix("a.b ") for r in got for c in odd), name
+        docs = spark.createDataFrame(got, out.schema)
+    assert docs.count() < len(rows)
+
+
+def test_stages_do_not_need_other_columns(spark, tables):
+    d, rows, _ = tables
+    docs = spark.createDataFrame([r[:2] for r in rows], "text_id bigint, text string").withColumnRenamed("text_id", "doc_id")
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, d)
+        assert out.columns == ["doc_id", "text"] and 0 < out.count() <= len(rows)
