@@ -37,7 +37,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     mark = F.xxhash64(F.lit("row"), text)
     keyed = docs.select("doc_id", mark.alias("mark"), F.posexplode(lines).alias("pos", "line"))
     keyed = keyed.where(F.length("line") >= min_chars).withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_chars)
-    keyed = keyed.select("doc_id", "mark", "pos", F.xxhash64("key").alias("h"), F.xxhash64(F.lit("line"), "key").alias("g"))
+    # texts are split once; what is kept of a line is a few numbers
+    keyed = materialize(keyed.select("doc_id", "mark", "pos", F.xxhash64("key").alias("h"), F.xxhash64(F.lit("line"), "key").alias("g")), "keyed")
     # one row for each document and key first, so that a hot key is counted in parts
     holders = keyed.groupBy("h", "g", "doc_id").agg(F.lit(1).alias("one"))
     over = holders.groupBy("h", "g").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
