@@ -56,8 +56,11 @@ def merge(base: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:
     return kept.unionByName(last.where("not gone").select(*[F.col(f"row.`{c}`").alias(c) for c in base.columns]))
 
 
-def conflicts(base: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys whose row in ``base`` is no longer the one that an edit was based on ("row changed")."""
+def conflicts(base: DataFrame, seen: DataFrame, keys: list[str], touched: DataFrame | None = None) -> DataFrame:
+    """Keys whose row in ``base`` is no longer the one that an edit was based on ("row changed"). ``touched``:
+    the keys of the edits, those too that had no row in ``seen`` and must not have one now; without it the
+    keys of ``seen``."""
     image = lambda d, n: d.select(*keys, F.xxhash64(*d.columns).alias(n))
-    both = image(seen, "was").join(image(base.select(*seen.columns), "now"), keys, "left")
+    own = seen.select(*keys) if touched is None else touched.select(*keys).distinct()
+    both = own.join(image(seen, "was"), keys, "left").join(image(base.select(*seen.columns), "now"), keys, "left")
     return both.where(~F.col("was").eqNullSafe(F.col("now"))).select(*keys)
