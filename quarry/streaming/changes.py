@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.operators.overlay import merge
+from quarry.sources.staging import staged
 from quarry.sources.storage import VersionedTable
 
 
@@ -43,10 +44,33 @@ def grouped(changes: DataFrame, by: str = "gtid") -> DataFrame:
     return rows.groupBy(by, "island", "db", "tbl", "op").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
+def events(changes: DataFrame, by: str = "gtid") -> DataFrame:
+    """The events of a log, in order of ``seq`` and ``place``: for every transaction GTID, BEGIN, one ROWS event
+    for each run of changes of one table and kind (n rows), and XID; for a schema change (op "ddl", its text in
+    ``statement``) GTID and QUERY. No change, no event.
+    """
+    text = F.col("statement") if "statement" in changes.columns else F.lit(None).cast("string")
+    ddl = changes.where("op = 'ddl'").select(by, "seq", F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.lit(k).alias("event"), F.when(F.lit(k == "QUERY"), t).alias("text")) for i, (k, t) in enumerate((("GTID", text), ("QUERY", text)))])).alias("e"))
+    ddl = ddl.select(by, "seq", "e.place", "e.event", "e.text", F.lit(0).cast("long").alias("n"))
+    runs = grouped(changes.where("op <> 'ddl'"), by)
+    ends = runs.groupBy(by).agg(F.min("first_seq").alias("low"), F.max("last_seq").alias("high"))
+    mark = lambda at, place, name: F.struct(F.col(at).alias("seq"), F.lit(place).alias("place"), F.lit(name).alias("event"))
+    frame = ends.select(by, F.explode(F.array(mark("low", 0, "GTID"), mark("low", 1, "BEGIN"), mark("high", 9, "XID"))).alias("e"))
+    frame = frame.select(by, "e.seq", "e.place", "e.event", F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("n"))
+    rows = runs.select(by, F.col("first_seq").alias("seq"), F.lit(2).alias("place"), F.lit("ROWS").alias("event"), F.concat_ws(" ", "op", F.concat_ws(".", "db", "tbl")).alias("text"), "n")
+    return frame.unionByName(rows).unionByName(ddl)
+
+
 def deduplicated(changes: DataFrame, done: DataFrame | None = None) -> DataFrame:
-    """Each change once, and none of a transaction that was executed before."""
+    """Each change once, and none that was executed before. ``done`` has gtid, and seq if a transaction may
+    be known in part: then its changes up to that one were executed."""
     once = changes.dropDuplicates(["gtid", "seq"])
-    return once if done is None else once.join(done.select("gtid"), "gtid", "left_anti")
+    if done is None:
+        return once
+    if "seq" not in done.columns:
+        return once.join(done.select("gtid"), "gtid", "left_anti")
+    last = done.groupBy(F.col("gtid").alias("_gtid")).agg(F.max("seq").alias("_seq"))
+    return once.join(last, F.col("gtid").eqNullSafe(F.col("_gtid")) & (F.col("seq") <= F.col("_seq")), "left_anti")
 
 
 def after(changes: DataFrame, seq: int) -> DataFrame:
@@ -105,16 +129,24 @@ def start_applying(spark: SparkSession, source: str, schema, table: VersionedTab
     """Follow a folder of changelog files and apply each micro-batch exactly once.
 
     The number of the batch is stored in the version that it makes: a batch that is delivered again after
-    a failure finds it there and is skipped. A batch writes its edits alone; after ``compact_after`` of them
-    the table is written anew. Returns the streaming query; it stops when all is read.
+    a failure finds it there and is skipped. The executed set (the last change of each transaction) is kept
+    with the table, so a transaction that is delivered again in a later file is not applied again. A batch
+    writes its edits alone; after ``compact_after`` of them the table and the set are written anew. Returns the
+    streaming query; it stops when all is read.
     """
 
     def one(batch: DataFrame, number: int) -> None:
         version = table.version()
-        if table.meta(version).get("batch", -1) >= number:
+        meta = table.meta(version)
+        if meta.get("batch", -1) >= number:
             return
-        rows = batch.where(filters.column()) if filters else batch
-        table.commit_edits(edits(deduplicated(rows), keys), keys, version, batch=number)
+        known = meta.get("executed", [])
+        done = spark.read.parquet(*[f"{table.path}/{f}" for f in known]) if known else None
+        rows = staged(deduplicated(batch.where(filters.column()) if filters else batch, done), "changes")
+        own = rows.groupBy("gtid").agg(F.max("seq").alias("seq"))
+        if len(known) >= compact_after:
+            known, own = [], done.unionByName(own).groupBy("gtid").agg(F.max("seq").alias("seq"))
+        table.commit_edits(edits(rows, keys), keys, version, batch=number, executed=[*known, table.stage(own)])
         table.compact(compact_after)
 
     stream = spark.readStream.schema(schema).parquet(source)
