@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import json
+import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.functions.types import field
-from quarry.operators import constraints, stats
+from quarry.operators import constraints, dml, fulltext, stats
 from quarry.operators.ddl import information_schema_columns
-from quarry.operators.transactions import Session
-from quarry.sources.storage import VersionedTable
+from quarry.plans.statements import Statement, parse
+from quarry.operators.transactions import Session, commit_together
+from quarry.sources.staging import staged
+from quarry.sources.storage import TwoPhase, VersionedTable
 
 
 class Engine:
@@ -32,13 +37,14 @@ class Engine:
         files = VersionedTable(self.spark, self._path("x")).files
         return [n for n in files.names(f"{self.warehouse}/{self.database.lower()}") if VersionedTable(self.spark, self._path(n)).version() is not None]
 
-    def create_table(self, name: str, columns: dict[str, str], primary_key: list[str] = (), unique: list[list[str]] = (), checks: list[str] = (), rows: DataFrame | None = None) -> VersionedTable:
-        """A table from declared MySQL types, empty or with rows that must satisfy its constraints."""
+    def create_table(self, name: str, columns: dict[str, str], primary_key: list[str] = (), unique: list[list[str]] = (), checks: list[str] = (), rows: DataFrame | None = None, **more) -> VersionedTable:
+        """A table from declared MySQL types, empty or with rows that must satisfy its constraints. ``more``:
+        auto_increment (the counted column), defaults and on_update (expressions by column), comment, ..."""
         from pyspark.sql import types as T
 
         schema = T.StructType([field(c, k, c not in primary_key) for c, k in columns.items()])
         data = self.spark.createDataFrame([], schema) if rows is None else rows.select(*[rows[c].cast(schema[c].dataType).alias(c) for c in columns])
-        meta = {"name": name, "columns": columns, "primary_key": list(primary_key), "unique": [list(u) for u in unique], "checks": list(checks)}
+        meta = {"name": name, "columns": columns, "primary_key": list(primary_key), "unique": [list(u) for u in unique], "checks": list(checks)} | more
         self.validate(data, meta)
         return VersionedTable.create(self.spark, self._path(name), data, **meta)
 
@@ -133,14 +139,229 @@ class Engine:
         t = self.table(name)
         return Session(t, t.meta()["primary_key"], level, read_only)
 
+    def commit_together(self, sessions: list[Session]) -> None:
+        """Commit sessions on several tables, all of them or none."""
+        commit_together(f"{self.warehouse}/_transactions", uuid.uuid4().hex, sessions)
+
+    def recover(self) -> dict[str, bool]:
+        """Finish what a crash has left between prepare and decision."""
+        return TwoPhase(self.spark, f"{self.warehouse}/_transactions").recover(self.spark)
+
+    # SQL text
+    def _register(self, text: str) -> None:
+        """Temporary views of the tables and stored views that a statement names; nothing else is opened."""
+        words = {w.lower() for w in re.findall(r"[A-Za-z_][A-Za-z0-9_$]*", text)}
+        for n, body in self.definitions("view").items():
+            if n in words:
+                self.spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW `{n}` AS {self._prepared(body['text'])}")
+        for n in VersionedTable(self.spark, self._path("x")).files.names(f"{self.warehouse}/{self.database.lower()}"):
+            if n in words and not n.startswith("_"):
+                self.table(n).read().createOrReplaceTempView(n)
+
+    def _prepared(self, text: str) -> str:
+        self._register(text)
+        return text
+
     def sql(self, text: str, **binds) -> DataFrame:
-        """A query over the latest versions of all tables; ``:name`` takes a bind value."""
-        for n in self.tables():
-            self.table(n).read().createOrReplaceTempView(n)
-        return self.spark.sql(text, args=binds or None)
+        """A query over the latest versions of the tables that it names; ``:name`` takes a bind value."""
+        return self.spark.sql(self._prepared(text), args=binds or None)
+
+    def execute(self, text: str, session: Session | None = None) -> DataFrame | int:
+        """Any statement: a query gives its rows, a change the number of rows that it matched.
+
+        INSERT, REPLACE, INSERT IGNORE, ON DUPLICATE KEY UPDATE (VALUES or SELECT), UPDATE, DELETE and TRUNCATE
+        of one table. Without a session a change commits at once; with one (of that table) it is part of it.
+        A table without a primary key takes INSERT, DELETE and UPDATE too; equal rows count one by one.
+        """
+        s = parse(text)
+        if s.kind == "query":
+            return self.sql(text)
+        t = self.table(s.table)
+        keys = t.meta().get("primary_key")
+        if s.kind == "truncate":
+            n = t.read().count()
+            v = t.version()
+            t.commit(t.read(v).limit(0), v, counter=1)
+            return n
+        if not keys:
+            return self._execute_keyless(t, s)
+        own = session or self.begin(s.table)
+        n = self._change(own, s)
+        if session is None:
+            own.commit()
+        return n
+
+    def _given(self, t: VersionedTable, s: Statement) -> DataFrame:
+        """The rows of an INSERT in the table's columns: defaults and the counter fill what isn't named."""
+        meta, schema = t.meta(), t.read().schema
+        rows = self.sql(s.source)
+        names = s.columns or [f.name for f in schema.fields]
+        if len(rows.columns) != len(names):
+            raise ValueError(f"{len(names)} columns, {len(rows.columns)} values")
+        rows = rows.toDF(*names)
+        if missing := [c for c in names if c not in schema.names]:
+            raise LookupError(f"no column {missing}")
+        defaults = meta.get("defaults", {})
+        out = rows.select(*[(F.col(f.name) if f.name in names else F.expr(defaults[f.name]) if f.name in defaults else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+        if auto := meta.get("auto_increment"):
+            out = self.numbered(s.table, out, auto)
+        return out
+
+    def numbered(self, name: str, rows: DataFrame, column: str) -> DataFrame:
+        """Rows without a value in the counted column get the next ones; the counter is kept with the table, and
+        an explicit value above it raises it. It is raised before the rows are written, so a number that was
+        given is not given again, and gaps stay."""
+        rows = staged(rows.withColumn("_at", F.monotonically_increasing_id()), "rows")
+        blank = rows.where(F.col(column).isNull()).count()
+        top = rows.agg(F.max(column)).first()[0]
+        t = self.table(name)
+        start = t.meta().get("counter", 1)
+        after = max(start + blank, 0 if top is None else int(top) + 1 + blank)
+        if blank or after > start:
+            self.set_attributes(name, counter=after)
+        return dml.auto_increment(rows, column, start, "_at").drop("_at")
+
+    def _change(self, own: Session, s: Statement) -> int:
+        table = own.table
+        if s.kind in ("insert", "replace", "ignore", "upsert"):
+            rows = staged(self._given(table, s), "given")
+            n = rows.count()
+            if own.pinned != table.version() and not own.edits:
+                own.pinned = table.version()  # the counter may have moved the table
+            if s.kind == "upsert":
+                own.upsert(rows, {c: F.expr(re.sub(r"(?i)\bvalues\s*\(\s*`?(\w+)`?\s*\)", r"new.\1", e)) for c, e in self._qualified(s, rows).items()})
+            else:
+                {"insert": own.insert, "replace": own.replace, "ignore": own.insert_ignore}[s.kind](rows)
+            return n
+        where = F.expr(s.where) if s.where else F.lit(True)
+        n = own.read().where(where).count()
+        if s.kind == "delete":
+            own.delete(where)
+        else:
+            changes = dict(s.assign)
+            for c, e in table.meta().get("on_update", {}).items():
+                changes.setdefault(c, e)
+            own.update(where, {c: F.expr(e) for c, e in changes.items()})
+        return n
+
+    @staticmethod
+    def _qualified(s: Statement, rows: DataFrame) -> dict[str, str]:
+        """Bare column names of ON DUPLICATE KEY UPDATE mean the old row."""
+        names = "|".join(map(re.escape, rows.columns))
+        inner = re.compile(rf"(?i)(values\s*\(\s*`?\w+`?\s*\)|'(?:[^']|'')*'|\b\w+\.\w+)|\b({names})\b")
+        return {c: inner.sub(lambda m: m[1] or f"old.{m[2]}", e) for c, e in s.assign.items()}
+
+    def _execute_keyless(self, t: VersionedTable, s: Statement) -> int:
+        v = t.version()
+        base = t.read(v)
+        if s.kind == "insert":
+            rows = self._given(t, s)
+            self.validate(base.unionByName(rows), t.meta(v))
+            t.commit(base.unionByName(rows), v)
+            return rows.count()
+        where = F.expr(s.where) if s.where else F.lit(True)
+        if s.kind not in ("update", "delete"):
+            raise ValueError(f"{s.kind} needs a key")
+        hit = base.where(where)
+        out = dml.delete(base, where) if s.kind == "delete" else dml.update(base, where, {c: F.expr(e) for c, e in s.assign.items()})
+        self.validate(out, t.meta(v))
+        n = hit.count()
+        t.commit(out, v)
+        return n
+
+    # databases, views, indexes
+    def databases(self) -> list[str]:
+        files = VersionedTable(self.spark, self._path("x")).files
+        return [n for n in files.names(self.warehouse) if not n.startswith("_")]
 
-    def create_view(self, name: str, text: str) -> None:
-        self.sql(text).createOrReplaceTempView(name)
+    def create_database(self, name: str) -> None:
+        files = VersionedTable(self.spark, self._path("x")).files
+        if not files.create(f"{self.warehouse}/{name.lower()}/_database.json", json.dumps({"name": name})):
+            raise FileExistsError(f"database {name}")
+
+    def drop_database(self, name: str) -> None:
+        files = VersionedTable(self.spark, self._path("x")).files
+        if name.lower() not in self.databases():
+            raise LookupError(f"no database {name}")
+        files.delete(f"{self.warehouse}/{name.lower()}")
+
+    def use(self, name: str) -> None:
+        if name.lower() not in self.databases():
+            raise LookupError(f"no database {name}")
+        self.database = name
+
+    def create_view(self, name: str, text: str, replace: bool = False) -> None:
+        """Kept with the database; its text is checked now and run anew by each query that names it."""
+        self.sql(text)
+        if replace and name.lower() in self.definitions("view"):
+            self.drop_definition("view", name)
+        self.save_definition("view", name, {"text": text})
+
+    def drop_view(self, name: str) -> None:
+        if name.lower() not in self.definitions("view"):
+            raise LookupError(f"no view {name}")
+        self.drop_definition("view", name)
+        self.spark.catalog.dropTempView(name.lower())
+
+    def rename_index(self, name: str, old: str, new: str) -> None:
+        known = self.table(name).meta().get("indexes", {})
+        found = next((k for k in known if k.lower() == old.lower()), None)
+        if found is None:
+            raise LookupError(f"no index {old}")
+        if new.lower() in (k.lower() for k in known if k != found):
+            raise FileExistsError(f"index {new}")
+        self.set_attributes(name, indexes={new if k == found else k: v for k, v in known.items()})
+
+    def add_primary_key(self, name: str, columns: list[str]) -> None:
+        t = self.table(name)
+        if t.meta().get("primary_key"):
+            raise FileExistsError("primary key")
+        constraints.require_key(t.read(), columns)
+        self.set_attributes(name, primary_key=columns)
+
+    def drop_primary_key(self, name: str) -> None:
+        """The rows stay; edits that need the key are merged first. A counted column needs its key."""
+        t = self.table(name)
+        if not t.meta().get("primary_key"):
+            raise LookupError("no primary key")
+        if t.meta().get("auto_increment") in t.meta()["primary_key"]:
+            raise ValueError("a counted column must be a key")
+        t.compact()
+        self.set_attributes(name, primary_key=[])
+
+    # full text
+    def create_fulltext(self, name: str, index: str, column: str) -> None:
+        """A stored inverted index, kept in step by :meth:`refresh_fulltext`."""
+        t = self.table(name)
+        known = t.meta().get("fulltext", {})
+        if index in known:
+            raise FileExistsError(f"index {index}")
+        v = t.version()
+        key = t.meta(v)["primary_key"]
+        if len(key) != 1:
+            raise ValueError("a full-text index needs a key of one column")
+        fulltext.store(t.read(v), key[0], column, f"{t.path}/_fulltext/{index}/v{v}")
+        self.set_attributes(name, fulltext=known | {index: {"column": column, "version": v}})
+
+    def refresh_fulltext(self, name: str) -> None:
+        """Bring the stored indexes to the latest version: only rows that changed are read as text."""
+        t = self.table(name)
+        v, m = t.version(), t.meta()
+        own = dict(m.get("fulltext", {}))
+        for index, i in own.items():
+            if t.folders(m) == t.folders(t.meta(i["version"])):
+                continue
+            path = f"{t.path}/_fulltext/{index}"
+            fulltext.update(self.spark, f"{path}/v{i['version']}", f"{path}/v{v}", t.read(i["version"]), t.read(v), m["primary_key"][0], i["column"])
+            own[index] = i | {"version": v}
+        self.set_attributes(name, fulltext=own)
+
+    def match(self, name: str, index: str, words: list[str]) -> DataFrame:
+        """id and score of MATCH ... AGAINST, from the stored index alone."""
+        self.refresh_fulltext(name)
+        t = self.table(name)
+        i = t.meta()["fulltext"][index]
+        return fulltext.match_stored(self.spark, f"{t.path}/_fulltext/{index}/v{i['version']}", words)
 
     def information_schema(self) -> DataFrame:
         return information_schema_columns(self.spark, {n: self.table(n).read() for n in self.tables()}, self.database)

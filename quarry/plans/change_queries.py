@@ -12,7 +12,7 @@ from quarry.plans import ranges as R
 from quarry.plans import router as P
 from quarry.registry import query
 from quarry.sources.staging import shared_dir
-from quarry.sources.storage import TwoPhase, VersionedTable
+from quarry.sources.storage import CommitConflict, TwoPhase, VersionedTable
 from quarry.sources.tables import register, table
 from quarry.streaming import changes as C
 
@@ -144,9 +144,15 @@ def auto_increment(spark, d):
     return dml.auto_increment(rows, "id", 5000, "o_orderkey")
 
 
-@query("SELECT o_orderkey FROM orders WHERE 1 = 0")
+@query("SELECT 'removed' AS what, count(*) AS n FROM nation UNION ALL SELECT 'left', 0 UNION ALL SELECT 'next', 1")
 def truncate(spark, d):
-    return dml.truncate(_orders(spark, d).select("o_orderkey"))[0]
+    """All rows go, their number is told, and the counter begins anew."""
+    e = _engine(spark)
+    e.create_table("n", {"k": "BIGINT", "v": "TEXT"}, ["k"], rows=table(spark, d, "nation").select((F.col("n_nationkey") + 1).alias("k"), F.col("n_name").alias("v")), auto_increment="k", counter=900)
+    n = e.execute("TRUNCATE TABLE n")
+    left = e.table("n").read().count()
+    e.execute("INSERT INTO n (v) VALUES ('first')")
+    return spark.createDataFrame([("removed", n), ("left", left), ("next", e.sql("SELECT max(k) AS k FROM n").first()["k"])], "what string, n bigint")
 
 
 @query("""
@@ -201,20 +207,142 @@ def row_count_pending(spark, d):
     return s.read().agg(F.count("*").alias("n"))
 
 
+def _engine(spark):
+    from quarry.engine import Engine
+
+    return Engine(spark, _place(spark, "engine"))
+
+
+def _nation(spark, d):
+    return table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("v"), F.col("n_regionkey").alias("r"))
+
+
+@query("SELECT n_nationkey::BIGINT AS k, n_name AS v, CASE WHEN n_nationkey < 5 THEN 'first' ELSE 'old' END AS who FROM nation UNION ALL SELECT 100, 'NEW', 'first'")
+def insert_race(spark, d):
+    """Two sessions insert one key: the first to commit has it, all of the other's edits are refused."""
+    t = VersionedTable.create(spark, _place(spark, "race"), _nation(spark, d).select("k", "v", F.lit("old").alias("who")))
+    new = lambda who: spark.createDataFrame([(100, "NEW", who)], "k bigint, v string, who string")
+    one, two = Session(t, ["k"]), Session(t, ["k"])
+    one.insert(new("first"))
+    one.update(F.col("k") < 5, {"who": F.lit("first")})
+    two.insert(new("second"))
+    two.update(F.col("k") >= 20, {"who": F.lit("second")})
+    one.commit()
+    try:
+        two.commit()
+    except constraints.ConstraintError:
+        two.rollback()
+    return t.read()
+
+
+@query("""
+SELECT n_nationkey::BIGINT AS k, CASE WHEN n_nationkey = 3 THEN 'RENAMED' ELSE n_name END AS v FROM nation UNION ALL SELECT 50, 'FRESH' UNION ALL SELECT 51, NULL UNION ALL SELECT 52, NULL
+""")
+def session_unique(spark, d):
+    """UNIQUE holds at each statement and at commit; NULLs are exempt."""
+    e = _engine(spark)
+    e.create_table("n", {"k": "BIGINT", "v": "TEXT"}, ["k"], [["v"]], rows=_nation(spark, d).select("k", "v"))
+    row = lambda *r: spark.createDataFrame(list(r), "k bigint, v string")
+    one, two = e.begin("n"), e.begin("n")
+    one.insert(row((50, "FRESH"), (51, None), (52, None)))
+    one.update(F.col("k") == 3, {"v": F.lit("RENAMED")})
+    two.insert(row((60, "FRESH")))
+    taken = table(spark, d, "nation").orderBy("n_nationkey").first()["n_name"]
+    for bad in (lambda: one.insert(row((70, taken))), lambda: one.update(F.col("k") == 51, {"v": F.lit(taken)}), one.commit, two.commit):
+        try:
+            bad()
+        except constraints.ConstraintError:
+            pass
+    return e.table("n").read()
+
+
+@query("SELECT s_suppkey AS k, round(CASE WHEN s_acctbal >= 0 THEN s_acctbal + 10 ELSE s_acctbal END, 2) AS n FROM supplier")
+def session_check(spark, d):
+    """CHECK refuses a whole statement, and lets NULL pass."""
+    e = _engine(spark)
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("n"))
+    e.create_table("s", {"k": "BIGINT", "n": "DOUBLE"}, ["k"], checks=["n > -100000"], rows=rows)
+    e.execute("UPDATE s SET n = n + 10 WHERE n >= 0")
+    for bad in ("UPDATE s SET n = n - 1000000 WHERE k % 2 = 0", "INSERT INTO s VALUES (-1, -100000)"):
+        try:
+            e.execute(bad)
+        except constraints.ConstraintError:
+            pass
+    e.execute("INSERT INTO s VALUES (-2, NULL)")
+    e.execute("DELETE FROM s WHERE n IS NULL")
+    return e.table("s").read().select("k", F.round("n", 2).alias("n"))
+
+
+@query("SELECT 'one' AS tbl, count(*) - 1 AS n FROM nation UNION ALL SELECT 'two', count(*) - 1 FROM region")
+def two_phase_conflict(spark, d):
+    """While a transaction is prepared no other moves its tables; one that finds a table moved changes none."""
+    one = VersionedTable.create(spark, _place(spark, "one"), table(spark, d, "nation"))
+    two = VersionedTable.create(spark, _place(spark, "two"), table(spark, d, "region"))
+    tx = TwoPhase(spark, _place(spark, "meta"))
+    tx.prepare("a", {"one": (one, one.read().where("n_nationkey > 0")), "two": (two, two.read().where("r_regionkey > 0"))})
+    for refused in (lambda: one.commit(one.read().limit(0), 0), lambda: tx.prepare("b", {"two": (two, two.read().limit(0)), "one": (one, one.read().limit(0))})):
+        try:
+            refused()
+        except CommitConflict:
+            pass
+    tx.decide("a")
+    tx.recover(spark)
+    return one.read().agg(F.lit("one").alias("tbl"), F.count("*").alias("n")).unionByName(two.read().agg(F.lit("two").alias("tbl"), F.count("*").alias("n")))
+
+
+@query("""
+SELECT s_suppkey AS id, CASE WHEN s_acctbal < 0 THEN 'debt' ELSE s_name END AS name, CASE WHEN s_acctbal < 0 THEN 1 ELSE 0 END + CASE WHEN s_suppkey BETWEEN 1 AND 3 THEN 5 ELSE 0 END AS n
+FROM supplier WHERE s_suppkey % 7 <> 0 OR s_suppkey <= 3 UNION ALL SELECT max(s_suppkey) + 1, 'counted', 0 FROM supplier UNION ALL SELECT max(s_suppkey) + 1000, 'given', 2 FROM supplier
+""")
+def dml_sql(spark, d):
+    """INSERT with a counter and defaults, UPDATE, DELETE and ON DUPLICATE KEY UPDATE as text."""
+    e, s = _engine(spark), table(spark, d, "supplier")
+    top = s.agg(F.max("s_suppkey")).first()[0]
+    e.create_table("s", {"id": "BIGINT", "name": "VARCHAR(64)", "n": "INT"}, ["id"], rows=s.select(F.col("s_suppkey").alias("id"), F.when(F.col("s_acctbal") < 0, F.lit("debt")).otherwise(F.col("s_name")).alias("name"), F.lit(0).alias("n")), auto_increment="id", counter=top + 1, defaults={"n": "0"})
+    e.execute("INSERT INTO s (name) VALUES ('counted')")
+    e.execute(f"INSERT INTO s VALUES ({top + 1000}, 'given', 2)")
+    e.execute("UPDATE s SET n = n + 1 WHERE name = 'debt'")
+    e.execute("INSERT INTO s (id, name, n) VALUES (1, 'x', 5), (2, 'x', 5), (3, 'x', 5) ON DUPLICATE KEY UPDATE n = n + VALUES(n)")
+    e.execute(f"DELETE FROM s WHERE id % 7 = 0 AND id <= {top} AND id > 3")
+    return e.table("s").read()
+
+
+@query("SELECT p_brand, p_size, count(*) AS n FROM (SELECT p_brand, CASE WHEN p_size < 10 THEN p_size + 100 ELSE p_size END AS p_size FROM part) GROUP BY 1, 2")
+def dml_keyless_update(spark, d):
+    """UPDATE of a table without a key: equal rows change together."""
+    e = _engine(spark)
+    e.create_table("p", {"p_brand": "TEXT", "p_size": "INT"}, rows=table(spark, d, "part").select("p_brand", "p_size"))
+    e.execute("UPDATE p SET p_size = p_size + 100 WHERE p_size < 10")
+    return e.table("p").read().groupBy("p_brand", "p_size").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT n_nationkey::BIGINT AS k, n_name AS v FROM nation WHERE n_name NOT IN ('FRANCE', 'CHINA') AND n_nationkey <> 0
+UNION ALL SELECT 0, 'FRANCE' UNION ALL SELECT 500, 'CHINA'
+""")
+def replace_unique(spark, d):
+    """REPLACE takes out every row that holds its primary key or a unique value."""
+    e = _engine(spark)
+    e.create_table("n", {"k": "BIGINT", "v": "TEXT"}, ["k"], [["v"]], rows=_nation(spark, d).select("k", "v"))
+    e.execute("REPLACE INTO n VALUES (0, 'FRANCE'), (500, 'CHINA')")
+    return e.table("n").read()
+
+
 # ranges
 RANGES = [P.KeyRange("g0", None, 2500), P.KeyRange("g1", 2500, 9000), P.KeyRange("g2", 9000, None)]
 
 
 @query("""
 SELECT * FROM (VALUES ('point', 'shard', 'g0'), ('cut', 'scatter', 'g0,g1'), ('between', 'shard', 'g1'), ('or', 'scatter', 'g0,g1,g2'),
- ('other', 'scatter', 'g0,g1,g2'), ('nothing', 'empty', '')) t(name, kind, groups)
+ ('other', 'scatter', 'g0,g1,g2'), ('nothing', 'empty', ''), ('in', 'scatter', 'g0,g1,g2'), ('not_equal', 'scatter', 'g0,g1,g2'), ('text', 'scatter', 'g0,g1,g2')) t(name, kind, groups)
 """)
 def route_decision(spark, d):
     k = "o_orderkey"
     cases = {
         "point": P.compare(k, "=", 40), "cut": P.both(P.compare(k, ">=", 2000), P.compare(k, "<", 3000)), "between": P.between(k, 2500, 8999),
         "or": P.both(P.compare(k, "=", 1), P.either(P.compare("x", "=", 1), P.compare("y", "=", 2))), "other": P.compare("o_custkey", "=", 7),
-        "nothing": P.both(P.compare(k, ">", 5), P.compare(k, "<", 3)),
+        "nothing": P.both(P.compare(k, ">", 5), P.compare(k, "<", 3)), "in": P.both(P.one_of(k, [1, 2]), P.compare(k, "=", 1)),
+        "not_equal": P.both(P.compare(k, "<>", 5), P.compare(k, "=", 7)), "text": P.compare(k, "=", "7"),
     }
     found = [(n, (r := P.route(p, k, RANGES)).kind, ",".join(r.groups)) for n, p in cases.items()]
     return spark.createDataFrame(found, "name string, kind string, groups string")
@@ -380,14 +508,30 @@ def alter_modify(spark, d):
     return ddl.modify_column(out, "size", "VARCHAR(10)")
 
 
-@query("SELECT p_partkey FROM part")
+@query("SELECT column_name, row_number() OVER () AS ordinal_position FROM (VALUES ('p_partkey'), ('p_brand')) t(column_name)")
 def alter_drop(spark, d):
-    return ddl.drop_column(table(spark, d, "part").select("p_partkey", "p_size"), "p_size")
+    """A dropped column is gone from the stored table and the catalog."""
+    e = _engine(spark)
+    e.create_table("p", {"p_partkey": "BIGINT", "p_size": "INT", "p_brand": "TEXT"}, ["p_partkey"], rows=table(spark, d, "part").select("p_partkey", "p_size", "p_brand"))
+    e.alter("p", ddl.drop_column(e.table("p").read(), "p_size"), {"p_partkey": "BIGINT", "p_brand": "TEXT"})
+    return e.information_schema().select("column_name", F.col("ordinal_position").cast("long").alias("ordinal_position"))
 
 
-@query("SELECT o_orderkey FROM orders")
+@query("SELECT 'added' AS step, count(*) AS n FROM nation UNION ALL SELECT 'refused', count(*) FROM region UNION ALL SELECT 'dropped', 2 * count(*) FROM nation")
 def pk_add_check(spark, d):
-    return ddl.add_primary_key(table(spark, d, "orders"), KEY).select("o_orderkey")
+    """A primary key is added where it holds, refused where it doesn't, and dropped again."""
+    e = _engine(spark)
+    e.create_table("n", {"k": "BIGINT", "r": "BIGINT"}, rows=_nation(spark, d).select("k", F.col("r").cast("long").alias("r")))
+    try:
+        e.add_primary_key("n", ["r"])
+        refused = 0
+    except constraints.ConstraintError:
+        refused = e.table("n").read().select("r").distinct().count()
+    e.add_primary_key("n", ["k"])
+    added = e.sql("SELECT count(*) AS n FROM n").first()["n"]
+    e.drop_primary_key("n")
+    e.execute("INSERT INTO n SELECT * FROM n")
+    return spark.createDataFrame([("added", added), ("refused", refused), ("dropped", e.table("n").read().count())], "step string, n bigint")
 
 
 @query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name LIKE 'A%'")
@@ -427,15 +571,48 @@ def ranked_all(spark, d):
     return global_rank(_orders(spark, d).select("o_orderkey", "o_totalprice"), "-o_totalprice", "o_orderkey").select("o_orderkey", "rn")
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey <> 7")
 def backup_restore(spark, d):
-    """A version copied to another place and opened there."""
-    t = VersionedTable.create(spark, _place(spark, "live"), _orders(spark, d).select("o_orderkey", "o_custkey"))
+    """A ranged table with an edit, copied to another place and opened there."""
+    own = R.RangedTable.create(spark, _place(spark, "live"), _orders(spark, d).select("o_orderkey", "o_custkey"), "o_orderkey", RANGES)
+    s = own.begin(KEY)
+    s.delete(F.col("o_orderkey") == 7)
+    s.commit()
     target = _place(spark, "backup")
-    t.backup(target)
+    own.table.drop_unpublished()
+    own.table.backup(target)
     return VersionedTable.restore(spark, target, _place(spark, "restored")).read()
 
 
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'W' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey BETWEEN 1000 AND 9500 AND o_orderkey % 10 <> 3
+""")
+def ranged_write(spark, d):
+    """One transaction over several ranges, then a split, read through the ranges."""
+    own = R.RangedTable.create(spark, _place(spark, "ranged"), _orders(spark, d).select("o_orderkey", "o_orderstatus"), "o_orderkey", RANGES)
+    s = own.begin(KEY)
+    s.update(F.col("o_orderkey") % 4 == 0, {"o_orderstatus": F.lit("W")})
+    s.delete(F.col("o_orderkey") % 10 == 3)
+    s.commit()
+    own.split(4000, "g3")
+    return own.read(P.between("o_orderkey", 1000, 9500), F.expr("o_orderkey BETWEEN 1000 AND 9500"))
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM documents WHERE doc_id % 9 <> 0),
+tf AS (SELECT doc_id, word, count(*) AS tf FROM w WHERE word IN ('license', 'mit', 'stupid') GROUP BY 1, 2),
+df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM documents WHERE doc_id % 9 <> 0)
+SELECT doc_id AS id, round(sum(tf * log10(n / df) * log10(n / df)), 6) AS score FROM tf JOIN df USING (word), n GROUP BY 1
+""")
+def fulltext_stored(spark, d):
+    """A stored index that has followed a DELETE, searched without reading any text."""
+    e = _engine(spark)
+    e.create_table("docs", {"doc_id": "BIGINT", "text": "LONGTEXT"}, ["doc_id"], rows=table(spark, d, "documents").select("doc_id", "text"))
+    e.create_fulltext("docs", "ft", "text")
+    e.execute("DELETE FROM docs WHERE doc_id % 9 = 0")
+    return e.match("docs", "ft", ["license", "MIT", "stupid"])
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 11")
 def prepared_statement(spark, d):
     """A statement with a bind variable."""

@@ -157,7 +157,81 @@ def index_cardinality(spark, d):
     return one("c_mktsegment").unionByName(one("c_custkey"))
 
 
-@query("SELECT r_regionkey, '{\"id\":\"' || r_regionkey || '\",\"name\":\"' || r_name || '\"}' AS doc FROM region")
+@query("""
+SELECT r_regionkey, '{"added":{"deep":[1,null]},"id":' || r_regionkey || ',"in":{"flag":true,"name":"' || r_name || '"},"kept":1.5}' AS doc FROM region
+""")
 def json_edit(spark, d):
-    doc = F.to_json(F.struct(F.col("r_regionkey").cast("string").alias("id"), F.lit("x").alias("gone")))
-    return table(spark, d, "region").select("r_regionkey", M.json_remove(M.json_set(doc, "name", F.col("r_name")), "gone").alias("doc"))
+    """Members set and removed at any depth; numbers, booleans and arrays stay what they are."""
+    doc = F.to_json(F.struct(F.col("r_regionkey").alias("id"), F.lit("x").alias("gone"), F.struct(F.lit(True).alias("flag"), F.lit("old").alias("name")).alias("in"), F.lit(1.5).alias("kept")))
+    out = M.json_remove(M.json_set(doc, "$.in.name", F.col("r_name")), "$.gone")
+    out = M.json_set(M.json_insert(M.json_replace(out, "$.nothing", 1), "$.id", "taken"), "$.added", {"deep": [1, None]})
+    return table(spark, d, "region").select("r_regionkey", out.alias("doc"))
+
+
+@query("""
+SELECT c_custkey, CAST(i AS INTEGER) AS ordinality, c_custkey * 10 + i AS n, CASE WHEN i = 2 THEN NULL ELSE c_mktsegment END AS seg FROM customer, (VALUES (1), (2), (3)) t(i) WHERE c_custkey % 4 <> 0
+""")
+def json_table(spark, d):
+    """Rows from the elements of an array within a document."""
+    k = F.col("c_custkey")
+    item = lambda i: F.struct((k * 10 + i).alias("n"), (F.lit(None).cast("string") if i == 2 else F.col("c_mktsegment")).alias("seg"))
+    doc = F.when(k % 4 != 0, F.to_json(F.struct(F.struct(F.array(item(1), item(2), item(3)).alias("items")).alias("o"))))
+    rows = table(spark, d, "customer").select("c_custkey", doc.alias("doc"))
+    return M.json_table(rows, "doc", "$.o.items", {"n": ("$.n", "bigint"), "seg": ("$.seg", "string")}).drop("doc")
+
+
+@query("""
+SELECT p_partkey, CAST(instr(p_type, ' ') AS BIGINT) AS loc, CASE p_size % 4 WHEN 1 THEN 'a' WHEN 2 THEN 'b' ELSE NULL END AS el, CAST(CASE WHEN p_brand LIKE '%#1%' THEN 2 ELSE 0 END AS BIGINT) AS fs,
+  upper(hex(p_size)) AS hx, 'ab' || p_name AS tr, rpad(p_brand, 12, '*') AS rp, concat_ws('-', p_brand, NULL, CAST(p_size AS VARCHAR)) AS cw FROM part
+""")
+def fn_string_more(spark, d):
+    """LOCATE, ELT, FIND_IN_SET, HEX, TRIM, RPAD and CONCAT_WS."""
+    sized = F.col("p_size") % 4
+    kind = F.when(F.col("p_brand").like("%#1%"), "one").otherwise("none")
+    return table(spark, d, "part").select(
+        "p_partkey", M.locate(" ", "p_type").alias("loc"), M.elt(sized, "a", "b").alias("el"), M.find_in_set(kind, F.lit("zero,one,two")).alias("fs"), M.hexed("p_size").alias("hx"),
+        M.trimmed(F.concat(F.lit("xyxyab"), "p_name", F.lit("xy")), "xy").alias("tr"), M.rpad("p_brand", 12, "*").alias("rp"), M.concat_ws("-", "p_brand", F.lit(None), "p_size").alias("cw"),
+    )
+
+
+@query("""
+SELECT o_orderkey, date_diff('day', DATE '1995-02-15', CAST(o_orderdate AS DATE)) AS days, datesub('month', TIMESTAMP '1995-02-15 00:00:00', o_orderdate) AS months, datesub('year', TIMESTAMP '1995-02-15 00:00:00', o_orderdate) AS years,
+  CAST(o_orderdate - INTERVAL 1 MONTH AS DATE) AS less, CAST(year(o_orderdate) * 100 + month(o_orderdate) AS BIGINT) AS ym, CAST(strftime(o_orderdate, '%V') AS BIGINT) AS w3, CAST(strftime(o_orderdate, '%U') AS BIGINT) AS w0,
+  strftime(o_orderdate, '%G/%V %U %w') AS txt
+FROM orders
+""")
+def fn_date_more(spark, d):
+    """TIMESTAMPDIFF, DATE_SUB, EXTRACT and the weeks."""
+    t, since = F.col("o_orderdate"), F.lit("1995-02-15").cast("timestamp")
+    return table(spark, d, "orders").select(
+        "o_orderkey", F.datediff(t, since).cast("long").alias("days"), M.timestampdiff("MONTH", since, t).alias("months"), M.timestampdiff("YEAR", since, t).alias("years"),
+        M.date_sub(t, 1, "month").cast("date").alias("less"), M.extract("YEAR_MONTH", t).alias("ym"), M.week(t, 3).alias("w3"), M.week(t, 0).alias("w0"), M.date_format(t, "%x/%v %U %w").alias("txt"),
+    )
+
+
+@query("""
+WITH e AS (SELECT event_id AS seq, 'u:' || CAST(user_id AS VARCHAR) AS gtid, event_type AS tbl, CASE WHEN event_id % 7 = 0 THEN 'delete' ELSE 'insert' END AS op FROM events),
+m AS (SELECT *, CASE WHEN lag(tbl) OVER w = tbl AND lag(op) OVER w = op THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY gtid ORDER BY seq)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY gtid ORDER BY seq ROWS UNBOUNDED PRECEDING) AS island FROM m)
+SELECT gtid, min(seq) AS seq, 'ROWS' AS event, count(*) AS n FROM i GROUP BY gtid, island
+UNION ALL SELECT gtid, min(seq), 'GTID', 0 FROM e GROUP BY 1 UNION ALL SELECT gtid, min(seq), 'BEGIN', 0 FROM e GROUP BY 1 UNION ALL SELECT gtid, max(seq), 'XID', 0 FROM e GROUP BY 1
+""")
+def cdc_events(spark, d):
+    """The events that a log holds for the changes of each transaction."""
+    e = table(spark, d, "events")
+    op = F.when(F.col("event_id") % 7 == 0, "delete").otherwise("insert")
+    log = e.select(F.col("event_id").alias("seq"), F.concat(F.lit("u:"), F.col("user_id").cast("string")).alias("gtid"), F.lit("app").alias("db"), F.col("event_type").alias("tbl"), op.alias("op"))
+    return C.events(log).select("gtid", "seq", "event", "n")
+
+
+@query("SELECT n_nationkey::BIGINT AS id, n_name AS name FROM nation WHERE n_regionkey = 1")
+def stored_view(spark, d):
+    """A view that is kept with the database and read by another session of it."""
+    from quarry.engine import Engine
+
+    place = _place(spark, "engine")
+    rows = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("r"))
+    e = Engine(spark, place)
+    e.create_table("n", {"id": "BIGINT", "name": "TEXT", "r": "INT"}, ["id"], rows=rows)
+    e.create_view("american", "SELECT id, name FROM n WHERE r = 1")
+    return Engine(spark, place).sql("SELECT * FROM american")
