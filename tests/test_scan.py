@@ -61,7 +61,7 @@ def test_dialect_functions(spark):
         M.sec_to_time(F.lit(-90061)).alias("e"), M.field(F.lit("b"), "a", "b").alias("f"), M.json_set(F.lit('{"a":"1"}'), "b", F.lit(2)).alias("g"),
         M.truncate(F.lit(-1.99), 1).alias("h"), M.str_to_date(F.lit("31.12.2020"), "%d.%m.%Y").cast("string").alias("i"), M.json_remove(F.lit('{"a":"1","b":"2"}'), "a").alias("j"),
     ).first()
-    assert (r["a"], r["b"], r["c"], r["d"], r["e"], r["f"], r["g"], r["h"]) == (12.0, 0.0, None, -3, "-25:01:01", 2, '{"a":"1","b":"2"}', -1.9)
+    assert (r["a"], r["b"], r["c"], r["d"], r["e"], r["f"], r["g"], r["h"]) == (12.0, 0.0, None, -3, "-25:01:01", 2, '{"a":"1","b":2}', -1.9)
     assert r["i"] == "2020-12-31 00:00:00" and r["j"] == '{"b":"2"}'
 
 
