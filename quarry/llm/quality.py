@@ -218,7 +218,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     trusted = known.where(few(known.count(), sample // 2, F.col("id"))).withColumn("positive", F.lit(True))
     mark = F.xxhash64("text")
     rows = docs.select(F.col("doc_id").alias("id"), "text", mark.alias("mark"), few(docs.select("doc_id").count(), sample, F.col("doc_id"), mark).alias("plain")).where(~held_out(F.col("id")))
-    rows = rows.join(trusted, "id", "left").withColumn("positive", F.coalesce("positive", F.lit(False))).where("plain or positive")
+    # the ids of the trusted rows are bounded by the sample, so texts aren't shuffled to meet them
+    rows = rows.join(F.broadcast(trusted), "id", "left").withColumn("positive", F.coalesce("positive", F.lit(False))).where("plain or positive")
     rows = rows.select("id", "mark", "plain", "positive", _features_column(F.col("text")).alias("x"))
     table = rows.groupBy("id", "mark").agg(F.first("plain").alias("plain"), F.first("positive").alias("positive"), F.first("x").alias("x")).select("plain", "positive", "x").toArrow()
     x = table.column("x").combine_chunks().flatten().to_numpy().reshape(-1, FEATURES) if table.num_rows else np.zeros((1, FEATURES))
