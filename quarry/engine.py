@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from quarry.functions.types import field
 from quarry.operators import constraints, dml, fulltext, stats
 from quarry.operators.ddl import information_schema_columns
-from quarry.plans.statements import Statement, parse
+from quarry.plans import definitions
+from quarry.plans.ranges import RangedSession, RangedTable, placed
+from quarry.plans.router import KeyRange, RouteError
+from quarry.plans.statements import Statement, StatementError, parse
 from quarry.operators.transactions import Session, commit_together
 from quarry.sources.staging import staged
 from quarry.sources.storage import TwoPhase, VersionedTable
@@ -76,12 +79,13 @@ class Engine:
         self.validate(rows, t.meta(v))
         return t.commit(rows, v)
 
-    def alter(self, name: str, rows: DataFrame, columns: dict[str, str], **changes) -> int:
-        """A new version with another schema (see :mod:`quarry.operators.ddl`)."""
+    def alter(self, name: str, rows: DataFrame, columns: dict[str, str], check: dict | None = None, **changes) -> int:
+        """A new version with another schema (see :mod:`quarry.operators.ddl`). ``check``: the constraints that the
+        change can break; all of them without it."""
         t = self.table(name)
         v = t.version()
         meta = t.meta(v) | {"columns": columns} | changes
-        self.validate(rows, meta)
+        self.validate(rows, meta if check is None else check)
         return t.commit(rows, v, **{k: meta[k] for k in ("columns", *changes)})
 
     def set_attributes(self, name: str, **changes) -> int:
@@ -136,8 +140,49 @@ class Engine:
         self.set_attributes(name, statistics={})
 
     def begin(self, name: str, level: str = "repeatable read", read_only: bool = False) -> Session:
+        """A transaction over one table; over all its ranges if it has some."""
         t = self.table(name)
-        return Session(t, t.meta()["primary_key"], level, read_only)
+        m = t.meta()
+        if m.get("ranges"):
+            return RangedSession(t, m["primary_key"], level, read_only, ranged=RangedTable(t, m["range_column"]))
+        return Session(t, m["primary_key"], level, read_only)
+
+    # ranges
+    def shard_table(self, name: str, column: str, ranges: list[KeyRange], unique: list[str] = ()) -> None:
+        """Store the table by ranges of a key, those it has and these; all its rows must be in one."""
+        t = self.table(name)
+        v = t.version()
+        m, rows = t.meta(v), t.read(v)
+        if m.get("ranges") and m["range_column"] != column:
+            raise RouteError(f"{name} is placed by {m['range_column']}")
+        ranges = [KeyRange(p["group"], p["start"], p["end"], p["copying"]) for p in m.get("ranges", [])] + list(ranges)
+        ends = sorted((float("-inf") if r.start is None else r.start, float("inf") if r.end is None else r.end) for r in ranges)
+        if any(a >= b for a, b in ends) or any(one[1] > two[0] for one, two in zip(ends, ends[1:])):
+            raise RouteError("ranges overlap or are empty")
+        if not placed(rows, column, ranges).where("range_id is null").isEmpty():
+            raise RouteError("no range holds some keys")
+        uniques = m.get("unique", []) + [[c] for c in unique if [c] not in m.get("unique", [])]
+        self.validate(rows, m | {"unique": uniques})
+        parts = [vars(r) | {"folder": t.stage(rows.where(r.predicate(column)))} for r in ranges]
+        t.publish(parts[0]["folder"], v, ranges=parts, range_column=column, unique=uniques)
+
+    def _ranged(self, name: str) -> RangedTable:
+        t = self.table(name)
+        m = t.meta()
+        if not m.get("ranges"):
+            raise RouteError(f"{name} has no ranges")
+        return RangedTable(t, m["range_column"])
+
+    def split_range(self, name: str, at: int | None = None, group: str | None = None) -> int:
+        own = self._ranged(name)
+        taken = {r.group for r, _ in own.parts()}
+        return own.split(at, group or next(g for n in range(len(taken) + 1) if (g := f"g{n}") not in taken))
+
+    def split_over(self, name: str, limit: int) -> list[int]:
+        """Split every range that is stored in more than ``limit`` bytes; the keys at which it split."""
+        own = self._ranged(name)
+        taken = {r.group for r, _ in own.parts()}
+        return own.split_over(limit, lambda n: [g for i in range(n + len(taken) + 1) if (g := f"g{i}") not in taken][n])
 
     def commit_together(self, sessions: list[Session]) -> None:
         """Commit sessions on several tables, all of them or none."""
@@ -156,7 +201,11 @@ class Engine:
                 self.spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW `{n}` AS {self._prepared(body['text'])}")
         for n in VersionedTable(self.spark, self._path("x")).files.names(f"{self.warehouse}/{self.database.lower()}"):
             if n in words and not n.startswith("_"):
-                self.table(n).read().createOrReplaceTempView(n)
+                self._frame(n).createOrReplaceTempView(n)
+
+    def _frame(self, name: str) -> DataFrame:
+        """The rows that a statement sees of a table."""
+        return self.table(name).read()
 
     def _prepared(self, text: str) -> str:
         self._register(text)
@@ -172,7 +221,10 @@ class Engine:
         INSERT, REPLACE, INSERT IGNORE, ON DUPLICATE KEY UPDATE (VALUES or SELECT), UPDATE, DELETE and TRUNCATE
         of one table. Without a session a change commits at once; with one (of that table) it is part of it.
         A table without a primary key takes INSERT, DELETE and UPDATE too; equal rows count one by one.
+        Statements that define, show, load or copy: see :mod:`quarry.plans.definitions`; they have their own commits.
         """
+        if (out := definitions.run(self, text)) is not None:
+            return out
         s = parse(text)
         if s.kind == "query":
             return self.sql(text)
@@ -193,9 +245,12 @@ class Engine:
 
     def _given(self, t: VersionedTable, s: Statement) -> DataFrame:
         """The rows of an INSERT in the table's columns: defaults and the counter fill what isn't named."""
+        return self._completed(s.table, self.sql(s.source), s.columns)
+
+    def _completed(self, name: str, rows: DataFrame, columns=()) -> DataFrame:
+        t = self.table(name)
         meta, schema = t.meta(), t.read().schema
-        rows = self.sql(s.source)
-        names = s.columns or [f.name for f in schema.fields]
+        names = columns or [f.name for f in schema.fields]
         if len(rows.columns) != len(names):
             raise ValueError(f"{len(names)} columns, {len(rows.columns)} values")
         rows = rows.toDF(*names)
@@ -204,9 +259,36 @@ class Engine:
         defaults = meta.get("defaults", {})
         out = rows.select(*[(F.col(f.name) if f.name in names else F.expr(defaults[f.name]) if f.name in defaults else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
         if auto := meta.get("auto_increment"):
-            out = self.numbered(s.table, out, auto)
+            out = self.numbered(name, out, auto)
         return out
 
+    def load(self, name: str, rows: DataFrame, mode: str = "insert") -> int:
+        """Rows whose columns are named like the table's, in one commit; ``mode``: insert, replace or ignore."""
+        t = self.table(name)
+        rows = staged(self._completed(name, rows, rows.columns), "given")
+        if not t.meta().get("primary_key"):
+            v = t.version()
+            out = t.read(v).unionByName(rows)
+            self.validate(out, t.meta(v))
+            t.commit(out, v)
+            return rows.count()
+        own = self.begin(name)
+        {"insert": own.insert, "replace": own.replace, "ignore": own.insert_ignore}[mode](rows)
+        own.commit()
+        return rows.count()
+
+    def restore(self, source: str) -> int:
+        """Bring back the tables of a backup, none of which may exist now; their number."""
+        names = VersionedTable(self.spark, self._path("x")).files.names(source)
+        if taken := sorted(set(names) & set(self.tables())):
+            raise FileExistsError(f"tables {taken}")
+        for n in names:
+            VersionedTable.restore(self.spark, f"{source}/{n}", self._path(n))
+        return len(names)
+
+    def connect(self, level: str = "repeatable read") -> Connection:
+        return Connection(self.spark, self.warehouse, self.database, level)
+
     def numbered(self, name: str, rows: DataFrame, column: str) -> DataFrame:
         """Rows without a value in the counted column get the next ones; the counter is kept with the table, and
         an explicit value above it raises it. It is raised before the rows are written, so a number that was
@@ -380,3 +462,94 @@ class Engine:
     def drop_definition(self, kind: str, name: str) -> None:
         files = VersionedTable(self.spark, self._path("x")).files
         files.delete(f"{self._path('_' + kind)}/{name.lower()}.json")
+
+
+class Connection(Engine):
+    """Statements of one client, in transactions: BEGIN, COMMIT, ROLLBACK, SAVEPOINT and the like as text.
+
+    Outside a transaction each change commits at once. In one, every table is seen as it was when it was first
+    named, with the transaction's own changes; COMMIT publishes all tables or none. A statement that defines
+    something commits what is open. Changes of a table without a primary key are refused in a transaction.
+    """
+
+    def __init__(self, spark: SparkSession, warehouse: str, database: str = "app", level: str = "repeatable read"):
+        super().__init__(spark, warehouse, database)
+        self.level, self.read_only = level, False
+        self.sessions: dict[str, Session] | None = None
+        self.pinned: dict[str, int] = {}
+        self.marks: list[str] = []
+
+    def session(self, name: str) -> Session:
+        key = f"{self.database}/{name}".lower()
+        if key not in self.sessions:
+            own = self.sessions[key] = self.begin(name, self.level, self.read_only)
+            for mark in self.marks:  # declared before the table was named
+                own.savepoint(mark)
+        return self.sessions[key]
+
+    def _frame(self, name: str) -> DataFrame:
+        if self.sessions is None:
+            return super()._frame(name)
+        t = self.table(name)
+        if t.meta().get("primary_key"):
+            return self.session(name).read()
+        return t.read(self.pinned.setdefault(t.path, t.version()))
+
+    def _end(self) -> None:
+        self.sessions, self.pinned, self.marks, self.read_only = None, {}, [], False
+
+    def commit(self) -> None:
+        """Publish what the transaction has changed; it is over, whether that succeeds or not."""
+        changed = [s for s in (self.sessions or {}).values() if s.edits]
+        self._end()
+        if len(changed) == 1:
+            changed[0].commit()
+        elif changed:
+            self.commit_together(changed)
+
+    def _mark(self, what: str, name: str) -> None:
+        """SAVEPOINT, ROLLBACK TO or RELEASE of one name, in all tables."""
+        if self.sessions is None:
+            raise StatementError("no transaction")
+        if what != "savepoint" and name not in self.marks:
+            raise LookupError(f"no savepoint {name}")
+        for s in self.sessions.values():
+            getattr(s, what)(name)
+        at = self.marks.index(name) if name in self.marks else len(self.marks)
+        if what == "savepoint":
+            self.marks = [m for m in self.marks if m != name] + [name]
+        else:
+            self.marks = self.marks[: at + (what == "rollback_to")]
+
+    def execute(self, text: str, session: Session | None = None) -> DataFrame | int:
+        words = text.strip().rstrip(";").split()
+        first = " ".join(words[:2]).lower()
+        if first == "begin" or first.startswith("begin ") or first == "start transaction":
+            self.commit()
+            self.sessions, self.read_only = {}, [w.lower() for w in words[-2:]] == ["read", "only"]
+        elif first in ("commit", "commit work"):
+            self.commit()
+        elif m := re.fullmatch(r"(?i)\s*rollback(?:\s+work)?\s+to(?:\s+savepoint)?\s+`?(\w+)`?\s*;?\s*", text):
+            self._mark("rollback_to", m[1].lower())
+        elif first in ("rollback", "rollback work"):
+            self._end()
+        elif m := re.fullmatch(r"(?i)\s*(savepoint|release\s+savepoint)\s+`?(\w+)`?\s*;?\s*", text):
+            self._mark("release" if m[1].lower().startswith("release") else "savepoint", m[2].lower())
+        elif m := re.fullmatch(r"(?i)\s*set\s+(?:session\s+)?transaction\s+isolation\s+level\s+(.+?)\s*;?\s*", text):
+            self.level = " ".join(m[1].lower().split())
+        else:
+            return self._statement(text, session)
+        return 0
+
+    def _statement(self, text: str, session: Session | None) -> DataFrame | int:
+        if self.sessions is None or session is not None:
+            return super().execute(text, session)
+        if definitions.defines(text):
+            self.commit()
+            return super().execute(text)
+        s = parse(text)
+        if s.kind in ("insert", "replace", "ignore", "upsert", "update", "delete"):
+            if not self.table(s.table).meta().get("primary_key"):
+                raise StatementError(f"{s.table} has no key: it can't be changed in a transaction")
+            return super().execute(text, self.session(s.table))
+        return super().execute(text)

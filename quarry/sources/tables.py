@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession, types as T
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -35,6 +37,27 @@ def write(df: DataFrame, path: str, kind: str = "parquet", partition_by: tuple[s
     (out.partitionBy(*partition_by) if partition_by else out).save(path)
 
 
+def write_text(df: DataFrame, path: str, form: dict[str, str]) -> None:
+    """Write delimited text with these options of Spark's CSV writer; an existing target is an error."""
+    df.write.mode("errorifexists").options(**form).csv(path)
+
+
+def read_orc(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    return spark.read.schema(schema).orc(path)
+
+
+def spool(df: DataFrame, rows: int = 1024) -> Iterator[list[Row]]:
+    """A result as lists of at most ``rows`` rows in its order; the driver holds one partition and the next."""
+    page: list[Row] = []
+    for row in df.toLocalIterator(prefetchPartitions=True):
+        page.append(row)
+        if len(page) == rows:
+            yield page
+            page = []
+    if page:
+        yield page
+
+
 def seed_accounts(spark: SparkSession) -> DataFrame:
     """Four example accounts."""
     rows = [(1, "ada@example.com", "Ada", 1), (2, "bea@example.com", "Bea", 1), (3, "cid@example.com", "Cid", 0), (4, "dan@example.com", "Dan", 1)]
