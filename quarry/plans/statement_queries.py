@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from quarry.functions.aggregates import Aggregate
 from quarry.operators.constraints import ConstraintError
 from quarry.operators.transactions import ReadOnlyError
-from quarry.plans.change_queries import _engine, _place
+from quarry.plans.change_queries import _LAST, _engine, _keyed, _place
 from quarry.registry import query
-from quarry.sources.storage import CommitConflict
+from quarry.sources.storage import CommitConflict, VersionedTable
 from quarry.sources.tables import read_orc, register, spool, table, write
+from quarry.streaming import changes as C
+from quarry.streaming.replica import Replica, ReplicaError
 
 
 @query("SELECT c_custkey AS id, c_name AS title, 'new' AS state, CAST(c_nationkey AS BIGINT) AS area FROM customer WHERE c_custkey % 10 <> 0")
@@ -273,3 +275,60 @@ def backup_sql(spark, d):
     e.execute("DROP TABLE r, n")
     e.execute(f"RESTORE FROM '{target}'")
     return e.sql("SELECT k, v, 'r' AS t FROM r UNION ALL SELECT k, v, 'n' AS t FROM n")
+
+
+@query("""
+WITH f AS (SELECT user_id, max(event_id) AS fs FROM events WHERE event_id % 50 IN (0, 1) GROUP BY 1),
+e AS (SELECT events.*, fs FROM events LEFT JOIN f USING (user_id) WHERE fs IS NULL OR event_id >= fs)
+SELECT user_id AS k, round(coalesce(arg_max(value, event_id) FILTER (WHERE event_id % 50 = 1 OR event_id % 2 = 0), -1), 6) AS v,
+  coalesce(arg_max(event_type, event_id) FILTER (WHERE event_id % 2 = 1), 'base') AS kind FROM e GROUP BY user_id, fs HAVING coalesce(fs % 50, 1) <> 0
+""")
+def cdc_partial_rows(spark, d):
+    """Changes whose images hold only some columns."""
+    e = table(spark, d, "events")
+    base = e.select(F.col("user_id").alias("k"), F.lit(-1.0).alias("v"), F.lit("base").alias("kind")).distinct()
+    mod = F.col("event_id") % 50
+    op = F.when(mod == 0, "delete").when(mod == 1, "insert").otherwise("update")
+    present = F.when(F.col("event_id") % 2 == 0, F.array(F.lit("v"))).otherwise(F.array(F.lit("kind")))
+    after = F.struct(F.col("user_id").alias("k"), F.col("value").alias("v"), F.col("event_type").alias("kind"))
+    changes = e.select(F.col("event_id").alias("seq"), op.alias("op"), F.struct(F.col("user_id").alias("k")).alias("before"), after.alias("after"), present.alias("present"))
+    return C.apply_partial(base, changes, ["k"]).withColumn("v", F.round("v", 6))
+
+
+@query(f"SELECT k, v, true AS refused, 'stopped' AS state FROM ({_LAST.format(where='true')})")
+def replica_control(spark, d):
+    """A replica that is started, reset, refused a reset while it runs, and started again on a log it has applied."""
+    log, keyed, refused = _place(spark, "log"), _keyed(spark, d), False
+    C.write_log(keyed, log, 5000)
+    t = VersionedTable.create(spark, _place(spark, "target"), spark.createDataFrame([], "k bigint, v double"))
+    own = Replica(spark, _place(spark, "replica"), t, keyed.schema, ["k"])
+    own.change_source(log)
+    own.start()
+    own.wait()
+    own.reset()
+    own.start(every="1 second")
+    try:
+        own.reset()
+    except ReplicaError:
+        refused = True
+    own.query.processAllAvailable()
+    own.stop()
+    state = own.status().first()["state"]
+    return t.read().select("k", F.round("v", 6).alias("v"), F.lit(refused).alias("refused"), F.lit(state).alias("state"))
+
+
+@query("SELECT count(DISTINCT event_id // 10) AS executed, max(event_id) AS last_seq, true AS located FROM events")
+def log_position(spark, d):
+    """Where a log ends, and how many transactions it holds."""
+    log = _place(spark, "log")
+    C.write_log(table(spark, d, "events").select(F.col("event_id").alias("seq"), F.floor(F.col("event_id") / 10).alias("gtid")), log, 2000)
+    return C.log_status(spark, log).select("executed", "last_seq", (F.col("position") > 0).alias("located"))
+
+
+@query("SELECT 'nations' AS name, count(*) AS n_rows, true AS stored FROM nation WHERE n_nationkey <> 4")
+def table_status(spark, d):
+    """Rows and bytes of a table with an edit."""
+    e = _engine(spark)
+    e.create_table("nations", {"n_nationkey": "BIGINT", "n_name": "VARCHAR(32)"}, ["n_nationkey"], rows=table(spark, d, "nation").select("n_nationkey", "n_name"))
+    e.execute("DELETE FROM nations WHERE n_nationkey = 4")
+    return e.execute("SHOW TABLE STATUS").select("name", "n_rows", (F.col("data_length") > 0).alias("stored"))

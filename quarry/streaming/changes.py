@@ -125,14 +125,38 @@ def apply(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     return merge(base, edits(changes, keys), keys)
 
 
-def start_applying(spark: SparkSession, source: str, schema, table: VersionedTable, keys: list[str], checkpoint: str, filters: Filters | None = None, compact_after: int = 20):
+def apply_partial(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """The table after changes whose images may lack columns: ``present`` lists those that an update gives, the
+    others keep their values; an insert gives all. ``before`` needs the keys alone, which no update may move.
+    An update of a row that isn't there changes nothing.
+
+    Every column's last value is combined before the exchange; the table is joined to one row for each changed key.
+    """
+    rest = [c for c in base.columns if c not in keys]
+    image = F.when(F.col("op") == "insert", F.struct(*[F.col(f"after.`{k}`").alias(k) for k in keys])).otherwise(F.struct(*[F.col(f"before.`{k}`").alias(k) for k in keys]))
+    full = F.col("op") != "update"
+    moved = [F.array_contains("present", k) & ~F.col(f"after.`{k}`").eqNullSafe(F.col(f"before.`{k}`")) for k in keys]
+    stays = F.when((F.col("op") == "update") & reduce(Column.__or__, moved), F.raise_error(F.lit("a partial image can't move its key"))).otherwise(True)
+    rows = changes.where(stays).withColumn("_key", image)
+    given = lambda c: (F.col("op") == "insert") | ((F.col("op") == "update") & F.array_contains("present", c))
+    value = lambda c: F.struct("seq", F.col(f"after.`{c}`").alias("value"))
+    lasts = [F.max_by(F.when(given(c), value(c)), F.when(given(c), F.col("seq"))).alias(f"_c{i}") for i, c in enumerate(rest)]
+    last = rows.groupBy("_key").agg(F.max(F.when(full, F.struct("seq", "op"))).alias("_full"), *lasts)
+    last = staged(last.select(*[F.col(f"_key.`{k}`").alias(k) for k in keys], "_full", *[f"_c{i}" for i in range(len(rest))], F.lit(True).alias("_hit")), "last")
+    kept = base.join(last, keys, "left").where(F.col("_hit").isNull() | F.col("_full").isNull())
+    merged = [F.when(F.col(f"_c{i}").isNull(), F.col(f"`{c}`")).otherwise(F.col(f"_c{i}.value")).alias(c) for i, c in enumerate(rest)]
+    fresh = last.where("_full.op = 'insert'").select(*keys, *[F.col(f"_c{i}.value").alias(c) for i, c in enumerate(rest)])
+    return kept.select(*keys, *merged).unionByName(fresh).select(*base.columns)
+
+
+def start_applying(spark: SparkSession, source: str, schema, table: VersionedTable, keys: list[str], checkpoint: str, filters: Filters | None = None, compact_after: int = 20, every: str | None = None):
     """Follow a folder of changelog files and apply each micro-batch exactly once.
 
     The number of the batch is stored in the version that it makes: a batch that is delivered again after
     a failure finds it there and is skipped. The executed set (the last change of each transaction) is kept
     with the table, so a transaction that is delivered again in a later file is not applied again. A batch
     writes its edits alone; after ``compact_after`` of them the table and the set are written anew. Returns the
-    streaming query; it stops when all is read.
+    streaming query; it stops when all is read, or goes on and looks for more ``every`` so often.
     """
 
     def one(batch: DataFrame, number: int) -> None:
@@ -142,15 +166,16 @@ def start_applying(spark: SparkSession, source: str, schema, table: VersionedTab
             return
         known = meta.get("executed", [])
         done = spark.read.parquet(*[f"{table.path}/{f}" for f in known]) if known else None
-        rows = staged(deduplicated(batch.where(filters.column()) if filters else batch, done), "changes")
+        rows = staged(deduplicated(batch, done), "changes")
         own = rows.groupBy("gtid").agg(F.max("seq").alias("seq"))
         if len(known) >= compact_after:
             known, own = [], done.unionByName(own).groupBy("gtid").agg(F.max("seq").alias("seq"))
+        rows = rows.where(filters.column()) if filters else rows  # what a filter leaves out is executed all the same
         table.commit_edits(edits(rows, keys), keys, version, batch=number, executed=[*known, table.stage(own)])
         table.compact(compact_after)
 
     stream = spark.readStream.schema(schema).parquet(source)
-    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**({"processingTime": every} if every else {"availableNow": True})).start()
 
 
 def write_log(changes: DataFrame, path: str, max_rows: int = 1_000_000) -> None:
@@ -163,6 +188,14 @@ def log_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("size"))
 
 
+def log_status(spark: SparkSession, path: str) -> DataFrame:
+    """One row: the newest file and its size, how many transactions the log holds, and its last change."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("size"), "modificationTime")
+    newest = files.agg(F.max(F.struct("modificationTime", "file", "size")).alias("x")).select("x.file", F.col("x.size").alias("position"))
+    # both sides are one row
+    return newest.crossJoin(F.broadcast(spark.read.parquet(path).agg(F.count_distinct("gtid").alias("executed"), F.max("seq").alias("last_seq"))))
+
+
 def matches(pattern: str, value: str) -> bool:
     """The wildcard rule of the filters for one name: % and _, any case, the whole name."""
     return fnmatch.fnmatchcase(value.lower(), pattern.lower().replace("[", "[[]").replace("*", "[*]").replace("?", "[?]").replace("%", "*").replace("_", "?"))
