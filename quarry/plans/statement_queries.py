@@ -31,10 +31,10 @@ def ddl_sql(spark, d):
 def ddl_index(spark, d):
     """Indexes made, refused, renamed and dropped; those over a renamed column follow it."""
     e = _engine(spark)
-    rows = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    e.create_table("s", {"s_suppkey": "BIGINT", "s_name": "VARCHAR(64)", "s_nationkey": "INT"}, ["s_suppkey"], rows=rows)
+    rows = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey", F.expr("s_suppkey div 2").alias("pair"))
+    e.create_table("s", {"s_suppkey": "BIGINT", "s_name": "VARCHAR(64)", "s_nationkey": "INT", "pair": "BIGINT"}, ["s_suppkey"], rows=rows)
     try:
-        e.execute("CREATE UNIQUE INDEX nation_once ON s (s_nationkey)")
+        e.execute("CREATE UNIQUE INDEX pair_once ON s (pair)")
     except ConstraintError:
         e.execute("CREATE UNIQUE INDEX by_name ON s (s_name)")
     e.execute("CREATE INDEX n ON s (s_nationkey, s_suppkey)")

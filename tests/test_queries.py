@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from quarry import registry
-from quarry.plans import change_queries, core_queries, function_queries, more_queries  # noqa: F401
+from quarry.plans import change_queries, core_queries, function_queries, more_queries, statement_queries  # noqa: F401
 from quarry.sources.tables import TABLES
 
 DATA = "/root/testdata/sf0.001"
