@@ -1,16 +1,19 @@
-"""Near-duplicate removal by lanes of least hashes, tiles of sketches, and exact similarity.
+"""Near-duplicate removal by SimHash tiles within lanes of least hashes, and exact similarity.
 
 1. Every text has a set of codes of its word runs. ``BANDS`` lanes hold the least values of the set under
    ``ROWS`` orders each; sets that agree on a lane are candidates. Sets with a similarity of s agree on none
    with a chance of (1 - s^ROWS)^BANDS: 1 in 8 million at 0.8, 1 in 10^10 at 0.85.
-2. Within what the lanes connect, sketches are compared tile against tile (see ``parity.py`` and
-   ``simhash.tile_links``) with exclusive-or and bit counts; that loses nothing.
-3. What the sketches leave open is compared exactly, block against block (``jaccard.py``).
+2. Within what the lanes connect, SimHash fingerprints of the sets are compared tile against tile with
+   exclusive-or and bit counts (``simhash.near_links``). The radius follows from the similarity, for sets of any
+   size: fingerprints of similar sets are further apart with a chance of less than ``CHANCE``.
+3. What lies within the radius is compared exactly, block against block (``jaccard.py``).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +24,15 @@ from pyspark.sql import functions as F
 from quarry.llm.common import bloom, materialize, ship, texts_of
 from quarry.llm.components import components
 from quarry.llm.jaccard import sets_column, shingle_set, similar_links
-from quarry.llm.parity import candidate_links
+from quarry.llm.simhash import near_links, set_fingerprint_column
 from quarry.llm.words import mixed
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 5
+PRINT_WORDS = 8  # of 64 bits, of a fingerprint
+CHANCE = 1e-10
+TILE_ROWS = 64  # fingerprints of a tile
 _RNG = np.random.default_rng(8)
 _FLIP, _TIMES = (_RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) for _ in range(2))
 _TIMES |= np.uint32(1)
@@ -72,12 +78,42 @@ def lane_links(nodes: DataFrame) -> DataFrame:
     return rows.join(materialize(first, "keys"), "key").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
 
 
+def bit_differs(similarity: float, small: int = 24) -> float:
+    """The largest chance that a bit of the fingerprints of two sets of at least ``similarity`` differs: of up to
+    ``small`` common elements by counting (few elements often tie), of many by the angle."""
+
+    def tells(common: int, own: int) -> np.ndarray:  # the chance of a one, by the ones among the common elements
+        ones = np.arange(common + 1)[:, None] + np.arange(own + 1)
+        return ((2 * ones > common + own) + (2 * ones == common + own) / 2) @ deals(own)
+
+    deals = lambda n: np.array([math.comb(n, i) for i in range(n + 1)]) / 2**n
+    most = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    for common in range(1, small + 1):
+        for apart in range(1, math.floor(common * (1 - similarity) / similarity + 1e-6) + 1):
+            for own in range((apart + 1) // 2, apart + 1):
+                x, y = tells(common, own), tells(common, apart - own)
+                most = max(most, float(deals(common) @ (x * (1 - y) + y * (1 - x))))
+    return most
+
+
+@cache
+def radius(similarity: float, bits: int) -> int:
+    """So many of ``bits`` bits that the fingerprints of two sets of at least ``similarity`` differ in more with a
+    chance of less than ``CHANCE``."""
+    p = bit_differs(similarity)
+    if p == 0:
+        return 0
+    tail = np.cumsum([math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(bits, -1, -1)])[::-1]
+    return int(np.flatnonzero(np.append(tail[1:], 0) < CHANCE)[0])
+
+
 def one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` less near copies: of each group of similar texts the smallest doc_id stays.
 
     Texts are linked if the Jaccard similarity of their runs of ``words`` words is at least
-    ``similarity``; groups are what links reach. Every pair that the lanes hold together is compared. A pair
-    of exactly 0.8 that no lane holds has a chance of 1 in 8 million.
+    ``similarity``; groups are what links reach. Of every pair that the lanes hold together the fingerprints
+    are compared, and the sets of what these connect. A pair of exactly 0.8 that no lane holds has a chance of
+    1 in 8 million, one whose fingerprints are beyond the radius of less than 2 in 10^10.
 
     Texts without a word (null, empty, blank) are equal. Rows without a doc_id come after all others; of
     repeated rows one stays. Any other columns are kept, whatever their names. Sets are told apart by 128 bits
@@ -94,14 +130,16 @@ def one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     nodes = prints.groupBy("a", "b").agg(F.first("keys").alias("keys"), F.count("*").alias("copies"), best.alias("best"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     groups = components(lane_links(nodes))
-    # one text of each set in a group with others: sets, sketches, exact similarity
+    # one text of each set in a group with others: sets, fingerprints, exact similarity
     lone = nodes.select("node", F.col("best._q_a").alias("_q_a"), F.col("best._q_b").alias("_q_b")).join(groups.withColumnRenamed("root", "grp"), "node")
     lone = materialize(lone, "candidates")
     picked = marked.where(bloom(lone, "_q_a")(F.col("_q_a"))).select("_q_a", "_q_b", "text").join(lone, ["_q_a", "_q_b"])
     picked = materialize(picked.select("grp", "node", "text"), "picked")  # two Python steps in one task would need twice the workers
     sets = picked.select("grp", "node", sets_column(F.col("text"), words).alias("shingles")).dropDuplicates(["node"])
     sets = materialize(sets, "sets")
-    near = components(candidate_links(sets, similarity))
+    grids = sets.select(F.xxhash64(F.lit("grid"), "grp").alias("grid"), "node", set_fingerprint_column(F.col("shingles"), PRINT_WORDS).alias("words"))
+    grids = materialize(grids, "fingerprints")
+    near = components(near_links(grids, radius(similarity, 64 * PRINT_WORDS), radius(similarity, 64), TILE_ROWS, "grid"))
     near = sets.join(near.withColumnRenamed("root", "near"), "node").select(F.col("near").alias("grp"), "node", "shingles")
     roots = components(similar_links(near, similarity))
     # which row of each group stays

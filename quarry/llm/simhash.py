@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from quarry.llm.common import materialize, read, ship, tasks, texts_of
 from quarry.llm.components import components
-from quarry.llm.words import fingerprint
+from quarry.llm.words import fingerprint, signs
 
 TILE = 1024  # fingerprints of a tile
 STRIP = 512  # rows of a tile that are compared with another at once
@@ -44,6 +44,18 @@ def fingerprint_column(text, words: int = 3, seed: int = 42, lanes: int = 1):
     return run(text)
 
 
+def set_fingerprint_column(hashes, lanes: int = 1):
+    """Array of ``lanes`` longs: the SimHash words of each set of 64-bit hashes (binary; empty: zeros)."""
+
+    @F.arrow_udf("array<bigint>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in batches:
+            sets = (np.frombuffer(x, np.uint64) for x in a.to_pylist())
+            yield pa.array([signs([s] if len(s) else [], lanes).view(np.int64) for s in sets], pa.list_(pa.int64()))
+
+    return run(hashes)
+
+
 def _forest(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (left id, right id) that connect what the matrix ``near`` connects: all of them if they
     are few, else one for each row and column, to the smallest member it reaches within the tile."""
@@ -197,14 +209,18 @@ def tile_links(rows: DataFrame, limit: int, test: Callable[[np.ndarray, np.ndarr
     return dealt.mapInArrow(compare, _links_schema())
 
 
-def near_links(prints: DataFrame, radius: int = 2, first: int | None = None, tile: int | None = None) -> DataFrame:
+def near_links(prints: DataFrame, radius: int = 2, first: int | None = None, tile: int | None = None, within: str | None = None) -> DataFrame:
     """Links (a, b) that connect all fingerprints which differ in ``radius`` bits or fewer.
 
     ``prints`` has one row for each different fingerprint: ``node`` (long) and ``words``
     (array<bigint>, population counts are those of its first word). ``first`` bounds the bits in which the
     first words differ. Within a tile pair with very many links only a spanning set of them is returned, so
-    that the components are those of all links but a large group does not give all its pairs.
+    that the components are those of all links but a large group does not give all its pairs. With ``within``,
+    a column of longs, only fingerprints of one value are compared, in a grid for each value.
     """
+    if within:
+        rows = prints.select(F.col(within).alias("bucket"), "node", F.bit_count(F.element_at("words", 1)).alias("place"), F.lit(tile or TILE).alias("tile_rows"), "words")
+        return tile_links(rows, radius if first is None else min(first, radius), lambda a, b: _near(a, b, radius, first))
     lanes = prints.select(F.size("words").alias("n")).first()
     if lanes and lanes["n"] == 1 and radius < 4:
         rows = _lanes(prints.select(F.element_at("words", 1).alias("fp")).distinct(), radius)

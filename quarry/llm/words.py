@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import xxhash
@@ -97,8 +97,13 @@ def fingerprint(text: bytes | None, k: int = 3, seed: int = 42, lanes: int = 1)
     With one lane a bit that just half of them set is 0. With more it is taken from the sum of the
     hashes, so that short texts with many such bits don't come to look alike.
     """
+    return signs(shingle_hashes(text or b"", k, seed), lanes)
+
+
+def signs(blocks: Iterable[np.ndarray], lanes: int = 1) -> np.ndarray:
+    """:func:`fingerprint` of 64-bit hashes, which come in blocks that are not empty."""
     total, ones, tie = 0, np.zeros((lanes, 64), dtype=np.int64), np.zeros(lanes, dtype=np.uint64)
-    for h in shingle_hashes(text or b"", k, seed):
+    for h in blocks:
         total += len(h)
         for i in range(lanes):
             own = mixed(h, i)

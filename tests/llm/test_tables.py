@@ -278,6 +278,59 @@ def test_lanes_hold_similar_pairs_together():
     assert len(neardup.lane_keys(np.empty(0, np.uint64))) == 0
 
 
+def test_near_copies_come_through_fingerprints(spark, monkeypatch):
+    """The fingerprints of the sets decide what is compared: without their links all different texts stay."""
+    rng, calls, links = random.Random(21), [], neardup.near_links
+    text = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = [(i, " ".join([*text[:190], f"end{i}"])) for i in range(5)] + [(9, " ".join(reversed(text)))]
+
+    def seen(prints, *how):
+        calls.append((prints.collect(), how))
+        return links(prints, *how)
+
+    monkeypatch.setattr(neardup, "near_links", seen)
+    assert sorted(r["doc_id"] for r in neardup.one_of_each(frame(spark, rows)).collect()) == [0, 9]
+    prints, how = calls[0]
+    plain = {tuple(words_module.signs([jaccard.shingle_set(t.encode(), 5)], neardup.PRINT_WORDS).view(np.int64).tolist()) for _, t in rows[:5]}
+    assert {tuple(r["words"]) for r in prints} == plain and how[0] == neardup.radius(0.8, 64 * neardup.PRINT_WORDS)
+    monkeypatch.setattr(neardup, "near_links", lambda prints, *how: links(prints, *how).limit(0))
+    assert neardup.one_of_each(frame(spark, rows)).count() == len(rows)
+
+
+def test_the_radius_holds_similar_sets_of_any_size():
+    """Sets of just the similarity lie within the radius, whatever their size; others seldom do."""
+    rng = np.random.default_rng(31)
+    most, first = neardup.radius(0.8, 64 * neardup.PRINT_WORDS), neardup.radius(0.8, 64)
+
+    def apart(common, own, other):
+        x = rng.integers(0, 2**64, common + own + other, dtype=np.uint64)
+        a, b = (words_module.signs([s], neardup.PRINT_WORDS) for s in (x[: common + own], np.concatenate([x[:common], x[common + own :]])))
+        n = np.bitwise_count(a ^ b)
+        return n.sum(), n[0]
+
+    for common, own, other in [(4, 1, 0), (8, 2, 0), (8, 1, 1), (9, 1, 1), (16, 2, 2), (80, 20, 0), (80, 10, 10), (400, 50, 50)]:
+        got = np.array([apart(common, own, other) for _ in range(400)])
+        assert (got <= (most, first)).all() and got[:, 0].mean() < 1.01 * 64 * neardup.PRINT_WORDS * neardup.bit_differs(0.8)
+    assert all(apart(0, 100, 100)[0] > most for _ in range(400)) and neardup.radius(1.0, 64) == 0
+
+
+@pytest.mark.parametrize("tile", [7, 64])
+def test_fingerprints_are_compared_within_a_grid_alone(spark, tile):
+    rng = np.random.default_rng(32)
+    base = rng.integers(-(2**63), 2**63, (3, 2))
+    rows = []
+    for n in range(90):
+        words = base[rng.integers(3)].copy()
+        for bit in rng.integers(0, 128, 4):
+            words[bit // 64] ^= np.int64(np.uint64(1 << int(bit % 64)).view(np.int64))
+        rows.append((int(rng.integers(2)), n, words.tolist()))
+    near = lambda i, j: rows[i][0] == rows[j][0] and sum(bin((a ^ b) % (1 << 64)).count("1") for a, b in zip(rows[i][2], rows[j][2], strict=True)) <= 5
+    label = closure(len(rows), near)
+    df = spark.createDataFrame(rows, "grid bigint, node bigint, words array<bigint>")
+    got = {r["node"]: r["root"] for r in components(simhash.near_links(df, 5, tile=tile, within="grid")).collect()}
+    assert [got.get(n, n) for n in range(len(rows))] == label and 6 < len(set(label)) < 90
+
+
 def test_runs_of_words_across_blocks(monkeypatch):
     text = b" ".join(b"w%d" % (i % 37) for i in range(5000))
     whole = np.concatenate(list(words_module.run_codes(text, 5)))
