@@ -6,7 +6,8 @@
 2. Within what the lanes connect, SimHash fingerprints of the sets are compared tile against tile with
    exclusive-or and bit counts (``simhash.near_links``). The radius follows from the similarity, for sets of any
    size: fingerprints of similar sets are further apart with a chance of less than ``CHANCE``.
-3. What lies within the radius is compared exactly, block against block (``jaccard.py``).
+3. What these connect is checked exactly: parities of the sets rule out what can't be similar and lose nothing
+   (``parity.py``), the rest is compared set by set, block against block (``jaccard.py``).
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import bloom, materialize, ship, texts_of
 from quarry.llm.components import components
 from quarry.llm.jaccard import sets_column, shingle_set, similar_links
+from quarry.llm.parity import candidate_links
 from quarry.llm.simhash import near_links, set_fingerprint_column
 from quarry.llm.words import mixed
 
@@ -141,6 +143,9 @@ def one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     grids = materialize(grids, "fingerprints")
     near = components(near_links(grids, radius(similarity, 64 * PRINT_WORDS), radius(similarity, 64), TILE_ROWS, "grid"))
     near = sets.join(near.withColumnRenamed("root", "near"), "node").select(F.col("near").alias("grp"), "node", "shingles")
+    near = materialize(near, "near")
+    even = components(candidate_links(near, similarity))
+    near = near.drop("grp").join(even.withColumnRenamed("root", "grp"), "node").select("grp", "node", "shingles")
     roots = components(similar_links(near, similarity))
     # which row of each group stays
     rooted = nodes.join(roots, "node", "left").select("a", "b", "copies", "best", F.coalesce("root", "node").alias("root"))
