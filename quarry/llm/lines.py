@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bloom_flag, lower_ascii, materialize, read
+from quarry.llm.common import bloom_flag, discard, lower_ascii, materialize, read
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -46,6 +46,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     gone = keyed.join(over, ["h", "g"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     gone = gone.groupBy("doc_id", "mark").agg(F.collect_set("pos").alias("gone"))
     gone = materialize(gone.select(F.col("doc_id").alias("_q_id"), F.col("mark").alias("_q_mark"), F.col("gone").alias("_q_gone")), "gone")
+    for old in (keyed, over):
+        discard(old)
     # texts that lose nothing are told by a filter of fixed size and aren't shuffled; the join decides on the rest
     flagged = bloom_flag(docs.withColumn("_q_row", mark), F.xxhash64("doc_id", "_q_row"), gone, F.xxhash64("_q_id", "_q_mark"))
     names = [F.col(f"`{c}`") for c in docs.columns if c != "text"]

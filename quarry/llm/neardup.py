@@ -22,10 +22,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bloom, materialize, ship, texts_of
+from quarry.llm.common import bloom, discard, materialize, ship, texts_of
 from quarry.llm.components import components
 from quarry.llm.jaccard import sets_column, shingle_set, similar_links
-from quarry.llm.parity import candidate_links
+from quarry.llm.parity import sketch_links, sketched
 from quarry.llm.simhash import near_links, set_fingerprint_column
 from quarry.llm.words import mixed
 
@@ -120,7 +120,8 @@ def one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     Texts without a word (null, empty, blank) are equal. Rows without a doc_id come after all others; of
     repeated rows one stays. Any other columns are kept, whatever their names. Sets are told apart by 128 bits
     of hash, and so are rows by their id and text. Of equal sets one is compared. Only rows of groups, and of
-    no group a few that a filter of fixed size lets pass, are shuffled with their text.
+    no group a few that a filter of fixed size lets pass, are shuffled with their text. Tables of texts and sets
+    are deleted as soon as nothing reads them any more; the result reads ``docs`` and a table of hashes.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -135,18 +136,24 @@ def one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     # one text of each set in a group with others: sets, fingerprints, exact similarity
     lone = nodes.select("node", F.col("best._q_a").alias("_q_a"), F.col("best._q_b").alias("_q_b")).join(groups.withColumnRenamed("root", "grp"), "node")
     lone = materialize(lone, "candidates")
-    picked = marked.where(bloom(lone, "_q_a")(F.col("_q_a"))).select("_q_a", "_q_b", "text").join(lone, ["_q_a", "_q_b"])
-    picked = materialize(picked.select("grp", "node", "text"), "picked")  # two Python steps in one task would need twice the workers
-    sets = picked.select("grp", "node", sets_column(F.col("text"), words).alias("shingles")).dropDuplicates(["node"])
-    sets = materialize(sets, "sets")
+    # repeated rows are one before the join and the exchange, so the sets need no exchange of their own
+    picked = marked.where(bloom(lone, "_q_a")(F.col("_q_a"))).select("_q_a", "_q_b", "text").dropDuplicates(["_q_a", "_q_b"])
+    picked = materialize(picked.join(lone, ["_q_a", "_q_b"]).select("grp", "node", "text"), "picked")  # two Python steps in one task would need twice the workers
+    sets = materialize(picked.select("grp", "node", sets_column(F.col("text"), words).alias("shingles")), "sets")
+    discard(picked)
     grids = sets.select(F.xxhash64(F.lit("grid"), "grp").alias("grid"), "node", set_fingerprint_column(F.col("shingles"), PRINT_WORDS).alias("words"))
     grids = materialize(grids, "fingerprints")
     near = components(near_links(grids, radius(similarity, 64 * PRINT_WORDS), radius(similarity, 64), TILE_ROWS, "grid"))
-    near = sets.join(near.withColumnRenamed("root", "near"), "node").select(F.col("near").alias("grp"), "node", "shingles")
-    near = materialize(near, "near")
-    even = components(candidate_links(near, similarity))
-    near = near.drop("grp").join(even.withColumnRenamed("root", "grp"), "node").select("grp", "node", "shingles")
-    roots = components(similar_links(near, similarity))
+    discard(grids)
+    # groups change from step to step; what meets them are sketches, and in the end the sets that are still in one
+    drawn = materialize(sketched(sets.select("node", "shingles"), similarity), "drawn")
+    even = components(sketch_links(drawn.join(near.withColumnRenamed("root", "grp"), "node"), similarity))
+    discard(drawn)
+    alike = sets.select("node", "shingles").where(bloom(even, "node")(F.col("node"))).join(even.withColumnRenamed("root", "grp"), "node")
+    alike = materialize(alike.select("grp", "node", "shingles"), "alike")
+    discard(sets)
+    roots = components(similar_links(alike, similarity))
+    discard(alike)
     # which row of each group stays
     rooted = nodes.join(roots, "node", "left").select("a", "b", "copies", "best", F.coalesce("root", "node").alias("root"))
     rooted = materialize(rooted, "rooted")
@@ -154,6 +161,8 @@ def one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     stay = materialize(stay.select("root", F.col("_q_a").alias("sa"), F.col("_q_b").alias("sb")), "stay")
     told = prints.select("a", "b", "_q_a", "_q_b").join(rooted.join(stay, "root").select("a", "b", "sa", "sb"), ["a", "b"])
     told = materialize(told.select("_q_a", "_q_b", ((F.col("_q_a") == F.col("sa")) & (F.col("_q_b") == F.col("sb"))).alias("_q_stays")).distinct(), "told")
+    for old in (prints, nodes, lone, rooted, stay):
+        discard(old)
     # most texts are in no group: a filter of fixed size spares them the exchange, the join decides on the rest
     maybe = bloom(told, "_q_a")(F.col("_q_a"))
     names = [F.col(f"`{c}`") for c in docs.columns]

@@ -82,18 +82,27 @@ def near(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
     return out
 
 
-def candidate_links(sets: DataFrame, similarity: float, tile: int = TILE_ROWS) -> DataFrame:
+def sketched(sets: DataFrame, similarity: float) -> DataFrame:
+    """The columns of ``sets`` but for shingles (binary, 64-bit hashes), with a row for each sketch ``x`` of a set."""
+    ship(sets.sparkSession)
+    return sets.select(*[c for c in sets.columns if c != "shingles"], F.explode(sketch_column(F.col("shingles"), similarity)).alias("x"))
+
+
+def sketch_links(rows: DataFrame, similarity: float, tile: int = TILE_ROWS) -> DataFrame:
     """Links (a, b) that connect all sets of a group with a Jaccard similarity of at least ``similarity``,
     and few others.
 
-    ``sets`` has grp and node (long, the node once) and shingles (binary, 64-bit hashes). Sets of a group lie
-    in order of their size; only tiles whose sizes allow the similarity are compared.
+    ``rows`` has grp and node (long) and x (of :func:`sketched`). Sets of a group lie in order of their size;
+    only tiles whose sizes allow the similarity are compared.
     """
-    ship(sets.sparkSession)
-    rows = sets.select("grp", "node", F.explode(sketch_column(F.col("shingles"), similarity)).alias("x"))
     fits = F.floor(F.lit(TILE_BYTES) / (F.expr("shiftleft(1, x.band)") / 8 + 8))
     bucket = F.xxhash64(F.lit("sketch"), "grp", "x.band")
-    rows = rows.select(bucket.alias("bucket"), "node", "x.place", F.greatest(F.lit(1), F.least(F.lit(tile), fits)).cast("int").alias("tile_rows"), "x.words", F.col("x.band").alias("band"))
+    rows = rows.select(bucket.alias("bucket"), "node", "x.place", F.greatest(F.lit(1), F.least(F.lit(tile), fits)).cast("int").alias("tile_rows"), "x.words")
     limit = math.ceil(-math.log(similarity) / STEP) + 1
-    rows = materialize(rows.drop("band"), "sketches")
+    rows = materialize(rows, "sketches")
     return tile_links(rows, limit, lambda a, b: near(a, b, similarity))
+
+
+def candidate_links(sets: DataFrame, similarity: float, tile: int = TILE_ROWS) -> DataFrame:
+    """:func:`sketch_links` of ``sets``: grp and node (long, the node once) and shingles."""
+    return sketch_links(sketched(sets, similarity), similarity, tile)
